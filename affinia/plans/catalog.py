@@ -1,4 +1,6 @@
-"""Registry of the queries and their SQL."""
+"""All queries of the engine, by name, and the SQL of those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from affinia.plans import ballot_queries, other_queries, panel_queries  # noqa: F401  they register themselves
+from affinia.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
