@@ -1,9 +1,10 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
 The index stores, for the test terms that are among the rarest of some benchmark window, every posting
-(term, document, position) of the training texts; postings of a window's rarest term also keep the words
-around them. A window is searched from its rarest terms: their lists, each adjusted by the term's offset in
-the window, are intersected on (document, start), and what is left is held against the kept words.
+(term, document, position) of the training texts. A window is searched from its rarest terms: their lists,
+each adjusted by the term's offset in the item, meet on (item, document, diagonal). Where enough of them
+meet, the document's words are held against the item's, which gives the exact phrases; lists that meet on
+nearby diagonals give proximity matches.
 """
 
 from __future__ import annotations
@@ -30,104 +31,115 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def windows_of(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, win): each run of ``width`` words of an item; all words of a shorter one, if it has any."""
-    own = items.select(F.col("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - width + 1))
-    return own.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, width))).alias("win")).distinct()
+def items_of(items: DataFrame, width: int, whole_windows: bool = False) -> DataFrame:
+    """(item_id, words, width) of the items that have windows: a window is ``width`` consecutive words; all
+    words of a shorter item, which ``whole_windows`` leaves out."""
+    own = items.select("item_id", words_of(F.col("text")).alias("words"))
+    least = width if whole_windows else 1
+    own = own.filter(F.size("words") >= least).dropDuplicates(["item_id", "words"])
+    return own.select("item_id", "words", F.least(F.lit(width), F.size("words")).alias("width"))
 
 
-def build_index(docs: DataFrame, windows: DataFrame, width: int, lists: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The stored postings, the anchors (win_id, term, off, rank, n_lists) and the windows (win_id, win).
+def build_index(docs: DataFrame, items: DataFrame, lists: int) -> tuple[DataFrame, DataFrame]:
+    """The stored postings (term, doc_id, pos), and the places (item_id, words, width, item_pos, term, need)
+    of the terms to search an item from.
 
-    Terms are ranked by their count in all documents; windows with a term that no document holds are left
-    out, since they occur nowhere.
+    Terms are ranked by their count in all documents; each window is searched from its ``lists`` rarest
+    ones. Windows with a term that no document holds are left out, since they occur nowhere.
     """
-    unique = written(windows.select("win").distinct().withColumn("win_id", F.xxhash64("win")), "windows")
-    terms = written(unique.select(F.explode("win").alias("term")).distinct(), "terms")
+    at = items.select("item_id", "words", "width", F.posexplode("words").alias("item_pos", "term"))
+    terms = written(at.select("term").distinct(), "terms")
     n_terms = terms.count()
     tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
     counts = written(tokens.join(_small(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
-    placed = unique.select("win_id", F.size("win").alias("len"), F.posexplode("win").alias("off", "term"))
-    placed = placed.join(_small(counts, n_terms), "term")
-    by_window = Window.partitionBy("win_id")
-    placed = placed.withColumns({
-        "rank": F.row_number().over(by_window.orderBy("n", "term", "off")),
+    at = at.join(_small(counts, n_terms), "term")
+    starts = F.sequence(F.greatest(F.lit(0), F.col("item_pos") - F.col("width") + 1), F.least("item_pos", F.size("words") - F.col("width")))
+    in_windows = at.select("item_id", "words", "width", "item_pos", "term", "n", F.explode(starts).alias("start"))
+    by_window = Window.partitionBy("item_id", "words", "start")
+    in_windows = in_windows.withColumns({
+        "rank": F.row_number().over(by_window.orderBy("n", "term", "item_pos")),
         "present": F.count(F.lit(1)).over(by_window),
-    }).filter((F.col("present") == F.col("len")) & (F.col("rank") <= lists))
-    anchors = written(placed.select("win_id", "term", "off", "rank", F.least("len", F.lit(lists)).alias("n_lists")), "anchors")
-    needed = anchors.groupBy("term").agg((F.min("rank") == 1).alias("first"))
-    posts = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    posts = posts.select("doc_id", "words", F.posexplode("words").alias("pos", "term")).join(_small(needed, n_terms), "term")
-    around = F.when(F.col("first"), F.slice("words", F.greatest(F.lit(1), F.col("pos") + 2 - width), 2 * width - 1))
-    index = written(posts.select("term", "doc_id", "pos", around.alias("around")), "postings")
-    return index, anchors, unique
-
-
-def find_occurrences(index: DataFrame, anchors: DataFrame, unique: DataFrame, width: int, n_windows: int) -> DataFrame:
-    """(doc_id, start, len, win_id) of every occurrence of a window, starts counted from 0."""
-    start = (F.col("pos") - F.col("off")).alias("start")
-    few = _small(anchors, n_windows)
-    lists = index.select("term", "doc_id", "pos").join(few, "term").select("win_id", "doc_id", start, "rank", "n_lists").filter("start >= 0")
-    met = lists.groupBy("win_id", "doc_id", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("ranks"), F.max("n_lists").alias("n_lists"))
-    met = met.filter(F.bit_count("ranks") == F.col("n_lists")).select("win_id", "doc_id", "start")
-    first = index.filter(F.col("around").isNotNull()).join(_small(anchors.filter("rank = 1"), n_windows), "term")
-    first = first.select("win_id", "doc_id", start, F.least(F.col("pos"), F.lit(width - 1)).alias("ahead"), "off", "around").filter("start >= 0")
-    left = first.join(met, ["win_id", "doc_id", "start"], "left_semi").join(_small(unique, n_windows), "win_id")
-    same = F.slice("around", F.col("ahead") - F.col("off") + 1, F.size("win")) == F.col("win")
-    return left.filter(same).select("doc_id", "start", F.size("win").alias("len"), "win_id").distinct()
-
-
-def covered(spans: Column) -> Column:
-    """How many places an array of structs (start, len) covers."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = F.greatest(x["start"].cast("long"), acc["end"])
-        end = F.greatest(x["start"].cast("long") + x["len"], acc["end"])
-        return F.struct((acc["n"] + end - begin).alias("n"), end.alias("end"))
-
-    return F.aggregate(F.array_sort(spans), zero, add)["n"]
-
-
-def match_benchmark(docs: DataFrame, items: DataFrame, width: int = 8, min_items: int = 2, lists: int = 3, whole_windows: bool = False) -> DataFrame:
+    })
+    places = in_windows.filter((F.col("present") == F.col("width")) & (F.col("rank") <= lists))
+    places = places.select("item_id", "words", "width", "item_pos", "term", F.least("width", F.lit(lists)).alias("need")).distinct()
+    places = written(places, "places")
+    needed = places.select("term").distinct()
+    posts = docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(_small(needed, n_terms), "term")
+    return written(posts.select("term", "doc_id", "pos"), "postings"), places
+
+
+def meet(index: DataFrame, places: DataFrame, n_places: int) -> DataFrame:
+    """(doc_id, item_id, words, width, diagonal): where the lists of an item's rare terms, less the terms'
+    places in the item, have enough postings in common for a window."""
+    few = places.select("item_id", F.xxhash64("words").alias("text_id"), "item_pos", "term", "need")
+    lists = index.join(_small(few, n_places), "term")
+    lists = lists.select("item_id", "text_id", "doc_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "need")
+    met = lists.groupBy("item_id", "text_id", "doc_id", "diagonal").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    own = places.select(F.col("item_id").alias("p_item"), F.xxhash64("words").alias("p_text"), "words", "width").distinct()
+    same = F.col("item_id").eqNullSafe(F.col("p_item")) & (F.col("text_id") == F.col("p_text"))
+    return met.filter("n >= need").join(_small(own, n_places), same).select("doc_id", "item_id", "words", "width", "diagonal")
+
+
+def proximity_matches(index: DataFrame, places: DataFrame, n_places: int, slack: int, least: int) -> DataFrame:
+    """(doc_id, item_id, first_pos, n_terms): places of a document where ``least`` or more different rare
+    terms of an item stand in the item's order up to ``slack`` words inserted or left out.
+
+    Diagonals within slack of each other share one of two overlapping bands of twice that width.
+    """
+    few = places.select("item_id", "item_pos", "term").distinct()
+    lists = index.join(_small(few, n_places), "term").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    bands = F.array(*(F.struct(F.lit(k).alias("half"), F.floor((F.col("diagonal") + k * slack) / (2 * slack)).alias("band")) for k in (0, 1)))
+    lists = lists.select("doc_id", "item_id", "item_pos", "pos", F.explode(bands).alias("b"))
+    met = lists.groupBy("doc_id", "item_id", "b").agg(F.count_distinct("item_pos").alias("n_terms"), F.min("pos").alias("first_pos"))
+    return met.filter(F.col("n_terms") >= least).groupBy("doc_id", "item_id", "first_pos").agg(F.max("n_terms").alias("n_terms"))
+
+
+def _exact(words: Column, c: Column) -> Column:
+    """Starts in words of the item windows that occur on a candidate's diagonal."""
+    places = F.sequence(F.lit(0), F.size(c["words"]) - c["width"])
+    right = lambda s: (s + c["diagonal"] >= 0) & (
+        F.slice(words, F.greatest(F.lit(1), s + c["diagonal"] + 1), c["width"]) == F.slice(c["words"], s + 1, c["width"])
+    )
+    return F.transform(F.filter(places, right), lambda s: s + c["diagonal"])
+
+
+def match_benchmark(docs: DataFrame, items: DataFrame, width: int = 8, min_items: int = 2, lists: int = 2, whole_windows: bool = False) -> DataFrame:
     """What of a benchmark each document holds.
 
     docs: doc_id, text; items: item_id, text. A window is ``width`` consecutive words of an item; an item
     of fewer words is one window (with ``whole_windows`` such items are left out). Columns: doc_id,
     n_words, n_hit (words inside an occurrence of a window), n_items (items with an occurring window),
     items_sha256 (hex digest of those item ids, sorted as strings and joined by commas), contaminated
-    (n_items >= min_items).
+    (n_items >= min_items), hits (array of item_id and the starts of its windows, words counted from 0).
 
     A window's ``lists`` rarest terms are intersected. Null and empty texts, of documents or items, have no
-    words and hit nothing. Rows that share a doc_id are one document as to hits and each give a row; so do
-    repeated rows. Without items, or documents, nothing is hit. Other columns are ignored.
+    words and hit nothing. Repeated documents each give a row, judged by its own text, and so do different
+    texts of one doc_id; repeated items count once. Without items, or documents, nothing is hit. Other
+    columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    windows = windows_of(items, width)
-    if whole_windows:
-        windows = windows.filter(F.size("win") == width)
-    windows = written(windows, "item-windows")
-    n_windows = windows.count()
-    index, anchors, unique = build_index(docs, windows, width, lists)
-    found = written(find_occurrences(index, anchors, unique, width, n_windows), "occurrences")
-    spans = found.groupBy("doc_id").agg(covered(F.collect_set(F.struct("start", "len"))).alias("n_hit"))
-    of_item = windows.select(F.xxhash64("win").alias("win_id"), "item_id")
-    hits = found.select("doc_id", "win_id").distinct().join(_small(of_item, n_windows), "win_id")
-    hits = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    per_doc = spans.join(hits, spans.doc_id.eqNullSafe(hits.doc_id)).select(spans.doc_id.alias("h_id"), "n_hit", "items")
-    rows = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    rows = rows.join(written(per_doc, "hits"), F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
-    items_of = F.coalesce("items", F.array().cast("array<string>"))
-    n_items = F.size(items_of).cast("long")
+    items = written(items_of(items, width, whole_windows), "items")
+    index, places = build_index(docs, items, lists)
+    found = meet(index, places, places.count())
+    per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "words", "width", "diagonal")).alias("found"))
+    per_doc = written(per_doc.withColumnRenamed("doc_id", "h_id"), "candidates")
+    rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
+    rows = rows.select("doc_id", words_of(F.col("text")).alias("words"), "found")
+    hits = F.transform("found", lambda c: F.struct(c["item_id"].alias("item_id"), c["width"].alias("width"), _exact(F.col("words"), c).alias("starts")))
+    hits = F.coalesce(F.filter(hits, lambda h: F.size(h["starts"]) > 0), F.array().cast("array<struct<item_id:string,width:int,starts:array<int>>>"))
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    covered = F.flatten(F.transform("hits", lambda h: F.flatten(F.transform(h["starts"], lambda s: F.sequence(s, s + h["width"] - 1)))))
+    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    n_items = F.size(ids).cast("long")
     return rows.select(
         "doc_id",
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
         n_items.alias("n_items"),
-        F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (n_items >= min_items).alias("contaminated"),
+        "hits",
     )
 
 

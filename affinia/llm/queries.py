@@ -28,7 +28,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.match_benchmark(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), width=8, min_items=2)
+    return decontaminate.match_benchmark(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), width=8, min_items=2).drop("hits")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
