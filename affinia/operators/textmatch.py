@@ -12,9 +12,9 @@ STOPWORDS = ["the", "dj", "and", "feat", "feat.", "de", "van", "el", "of", "for"
 
 
 def gazetteer_pattern(names: list[str]) -> str:
-    """One pattern of all names, the longest first, at word boundaries, in any case."""
+    """One pattern of all names, the longest first, not inside a longer word of any script."""
     escaped = [re.sub(r"([^A-Za-z0-9 ])", r"\\\1", n) for n in sorted(set(names), key=lambda x: (-len(x), x))]
-    return r"\b(" + "|".join(escaped).lower() + r")\b"
+    return r"(?<![\p{L}\p{N}_])(" + "|".join(escaped).lower() + r")(?![\p{L}\p{N}_])"
 
 
 def flag_codes(x: Column) -> Column:

@@ -162,13 +162,13 @@ l AS (SELECT *, prediction - avg(prediction) OVER (PARTITION BY entry) AS pl, po
 p AS (SELECT voter, recipient, avg(prediction) AS pm, avg(points) AS am, avg(pl) AS pl, avg(al) AS al, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 5),
 x AS (SELECT voter, recipient, n, 'mean_points' AS basis, pm AS p, am AS a FROM p UNION ALL SELECT voter, recipient, n, 'bloc_lift', pl, al FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY voter, basis ORDER BY round(p, 9) DESC, recipient) AS rp, row_number() OVER (PARTITION BY voter, basis ORDER BY round(a, 9) DESC, recipient) AS ra FROM x)
-SELECT u.voter, u.basis, CAST(u.rp AS INTEGER) AS rank, u.recipient AS predicted_country, round(u.p, 3) + 0.0 AS predicted_value, u.ra <= 5 AS predicted_in_actual_top, w.recipient AS actual_country, round(w.a, 3) + 0.0 AS actual_value, w.n AS actual_opportunities
+SELECT u.voter, u.basis, CAST(u.rp AS INTEGER) AS rank, u.recipient AS predicted_country, round(u.p, 6) + 0.0 AS predicted_value, u.ra <= 5 AS predicted_in_actual_top, w.recipient AS actual_country, round(w.a, 6) + 0.0 AS actual_value, w.n AS actual_opportunities
 FROM r u JOIN r w ON u.voter = w.voter AND u.basis = w.basis AND u.rp = w.ra WHERE u.rp <= 5""",
 )
 def q62(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = marked(spark, sf_dir)
     scored = recommend.bias_predictions(cells, recommend.biases(cells.filter("NOT is_test")))
-    return recommend.examples(scored).withColumns({c: rounded(c, 3) for c in ("predicted_value", "actual_value")})
+    return recommend.examples(scored).withColumns({c: rounded(c) for c in ("predicted_value", "actual_value")})
 
 
 @query("q63_grid_search")
@@ -268,14 +268,16 @@ def q68(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A small gazetteer over the invented words of the documents: name to key.
 GAZETTEER = {"the of": "of_the", "and the": "and_the", "de la": "de_la", "le la": "le_la", "und": "und", "the": "the", "token": "token"}
-_G_PATTERN = r"\b(and the|de la|the of|le la|token|the|und)\b"
-_G_KEY = "CASE n " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in GAZETTEER.items()) + " END"
+#: Doubled separators let a pattern without lookaround take neighbouring names.
+_APART, _DOUBLED = r"[^\p{L}\p{N}_]", r"regexp_replace(lower({}), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
+_G_PATTERN = rf"(?:^|{_APART})(and  the|de  la|the  of|le  la|token|the|und)(?:$|{_APART})"
+_G_KEY = "CASE replace(n, '  ', ' ') " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in GAZETTEER.items()) + " END"
 _TITLE = "left(text, 40)"
 
 
 @query(
     "q69_gazetteer_match",
-    f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower({_TITLE}), '{_G_PATTERN}', 1) AS ns FROM documents)
+    f"""WITH t AS (SELECT doc_id, regexp_extract_all({_DOUBLED.format(_TITLE)}, '{_G_PATTERN}', 1) AS ns FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(ns, lambda n: {_G_KEY}))), ',') AS keys FROM t""",
 )
 def q69(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,8 +295,8 @@ def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _NAMES = {"und": "Und", "de la": "De La", "token": "Token"}
-_N_PATTERN = r"\b(de la|token|und)\b"
-_N_KEY = "CASE n WHEN 'und' THEN 'Und' WHEN 'de la' THEN 'De La' WHEN 'token' THEN 'Token' END"
+_N_PATTERN = rf"(?:^|{_APART})(de  la|token|und)(?:$|{_APART})"
+_N_KEY = "CASE replace(n, '  ', ' ') WHEN 'und' THEN 'Und' WHEN 'de la' THEN 'De La' WHEN 'token' THEN 'Token' END"
 
 
 @query(
@@ -305,8 +307,8 @@ k AS (SELECT year, country, lower(unnest(list_filter(regexp_split_to_array(full_
 u AS (SELECT year, tok, min(country) AS country FROM k GROUP BY ALL HAVING count(DISTINCT country) = 1),
 fm AS (SELECT slug, list_sort(list(DISTINCT country)) AS names FROM p JOIN a ON a.year = p.year AND contains(lower(title), lower(full_name)) GROUP BY slug),
 tm AS (SELECT slug, list_sort(list(DISTINCT country)) AS names FROM (SELECT slug, year, unnest(list_distinct(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}_]+'))) AS tok FROM p) w JOIN u USING (year, tok) GROUP BY slug),
-r AS (SELECT p.slug, list_sort(list_distinct(list_transform(regexp_extract_all(lower(title), '{_N_PATTERN}', 1), lambda n: {_N_KEY}))) AS t1, coalesce(fm.names, tm.names, []) AS t2,
-  list_sort(list_distinct(list_transform(regexp_extract_all(lower(left(text, 800)), '{_N_PATTERN}', 1), lambda n: {_N_KEY}))) AS t3 FROM p LEFT JOIN fm USING (slug) LEFT JOIN tm USING (slug)),
+r AS (SELECT p.slug, list_sort(list_distinct(list_transform(regexp_extract_all({_DOUBLED.format('title')}, '{_N_PATTERN}', 1), lambda n: {_N_KEY}))) AS t1, coalesce(fm.names, tm.names, []) AS t2,
+  list_sort(list_distinct(list_transform(regexp_extract_all({_DOUBLED.format('left(text, 800)')}, '{_N_PATTERN}', 1), lambda n: {_N_KEY}))) AS t3 FROM p LEFT JOIN fm USING (slug) LEFT JOIN tm USING (slug)),
 s AS (SELECT slug, CASE WHEN len(t1) > 0 THEN t1 WHEN len(t2) > 0 THEN t2 WHEN len(t3) > 0 THEN t3 ELSE [NULL] END AS names, CASE WHEN len(t1) > 0 THEN 'title_country' WHEN len(t2) > 0 THEN 'title_artist' WHEN len(t3) > 0 THEN 'text_fallback' ELSE 'none' END AS source FROM r)
 SELECT slug, unnest(names) AS country, source FROM s""",
 )
@@ -329,7 +331,7 @@ _WINNERS = """yt AS (SELECT year, recipient AS country, sum(points) AS p FROM ba
     "q71_theme_distribution",
     f"""WITH {BALLOTS}, {_WINNERS}, e AS (SELECT CAST(1995 + doc_id // 25 AS INTEGER) AS year, n_name AS country, 'theme_' || (list_position(embedding[1:10], list_max(embedding[1:10])) - 1) AS theme FROM documents JOIN embeddings ON vec_id = doc_id JOIN nation ON n_nationkey = doc_id % 25 WHERE doc_id < 175),
 x AS (SELECT theme, coalesce(is_winner, false) AS w FROM e LEFT JOIN win USING (year, country)), g AS (SELECT 'all' AS grp, theme FROM x UNION ALL SELECT CASE WHEN w THEN 'winners' ELSE 'losers' END, theme FROM x)
-SELECT grp, theme, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY grp), 1) + 0.0 AS pct FROM g GROUP BY ALL""",
+SELECT grp, theme, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY grp), 1) + 0.0 AS pct FROM g GROUP BY grp, theme""",
 )
 def q71(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
