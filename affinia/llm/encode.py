@@ -1,69 +1,168 @@
 """Exact byte-level BPE encoding by the tokenizers library, with a bounded memory of encoded chunks.
 
-A single space between two characters that are no white space always begins a new pre-token of a
-byte-level BPE, and no merge crosses pre-tokens. So the text is cut there, each distinct chunk is
-encoded once by the library, and the ids of the chunks are joined. Any other white space stays inside
-its chunk and is left to the library.
+A byte-level BPE first cuts a text into pre-tokens, and no merge crosses them. Some of these cuts are plain:
+before a single space between two characters that are no white space, around a single line feed between
+two such, and between a letter and the marks that end a chunk. So the text is cut there, each distinct chunk
+is encoded once by the library, and the ids of the chunks are joined. A chunk of plain letters is one
+pre-token and goes straight to the library's BPE model. Anything else, with any other white space inside, is
+left to the library as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
+import sys
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD_SPACE = re.compile(r"\s\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Marks that are neither letter, number nor white space, and begin no contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_{|}~"
+#: Below this, which characters are letters is the same in all versions of Unicode.
+_SETTLED = "Ԁ"
+
+
+class _Memory(dict):
+    """Ids of chunks, in two generations; ``lead`` is what stands before each."""
+
+    def __init__(self, owner: Encoder, lead: str):
+        super().__init__()
+        self.owner, self.lead = owner, lead
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.owner.fresh(self.lead, chunk)
+        if len(chunk) <= self.owner.longest:
+            if len(self) >= self.owner.entries:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
     """Encodes texts into little-endian unsigned 32-bit ids; a null text has none.
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text are ordinary text. The memory has two generations of ``entries``
+    chunks at most; chunks longer than ``longest`` are not kept.
     """
 
-    def __init__(self, path: str, entries: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, entries: int = 500_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        kind = getattr(self.tokenizer.pre_tokenizer, "__class__", type(None)).__name__
-        self.cut = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        pre = self.tokenizer.pre_tokenizer
+        self.model = self.tokenizer.model
+        self.cut = isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None and isinstance(self.model, BPE)
         self.entries, self.longest = entries, longest
-        self.memo: dict[str, bytes] = {}
+        self.first, self.spaced = _Memory(self, ""), _Memory(self, " ")
+        # the byte-level alphabet: printable bytes stand for themselves, others for characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.space = self.letters[32]
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    if sys.byteorder == "little":
+
+        @staticmethod
+        def _bytes(ids: list[int]) -> bytes:
+            return array("I", ids).tobytes()
+
+    else:
 
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        @staticmethod
+        def _bytes(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str | None) -> bytes:
+    def _library(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def fresh(self, lead: str, chunk: str) -> bytes:
+        """Ids of lead + chunk."""
+        if chunk.isalpha():
+            if chunk.isascii():
+                return self._bytes([x.id for x in self.model.tokenize(self.space + chunk if lead else chunk)])
+            if max(chunk) < _SETTLED:
+                pre = (lead + chunk).encode().decode("latin-1").translate(self.letters)
+                return self._bytes([x.id for x in self.model.tokenize(pre)])
+            return self._library(lead + chunk)
+        memory = self.spaced if lead else self.first
+        if "\n" in chunk and chunk[0] != "\n" and not _ODD_SPACE.search(chunk):
+            one, *lines = chunk.split("\n")
+            feed = self.first["\n"]
+            return memory[one] + b"".join([feed + self.first[x] for x in lines])
+        stem = chunk.rstrip(_MARKS)
+        if len(stem) < len(chunk) and stem and stem[-1].isalpha() and stem[-1] < _SETTLED:
+            return memory[stem] + self.first[chunk[len(stem) :]]
+        return self._library(lead + chunk)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
-            return b""
+            return np.zeros(0, "<u4")
         if not self.cut:
-            return self._library([text])[0]
-        if _ODD_SPACE.search(text):
-            first, *rest = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-        chunks = [first, *[" " + x for x in rest]]
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, chunks))
-        except KeyError:
-            pass
-        missing = [x for x in set(chunks) if x not in memo]
-        long = {x for x in missing if len(x) > self.longest}
-        short = [x for x in missing if x not in long]
-        known = dict(zip(missing, self._library(missing), strict=True))
-        out = b"".join([memo[x] if x in memo else known[x] for x in chunks])
-        if len(memo) + len(short) > self.entries:
-            memo.clear()
-        if len(short) <= self.entries:
-            memo.update((x, known[x]) for x in short)
+            return np.frombuffer(self._library(text), "<u4")
+        first, *rest = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        return np.frombuffer((self.first[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest)), "<u4")
+
+    def encode_many(self, texts: list[str | None], characters: int = 1 << 22) -> Iterator[np.ndarray]:
+        """Ids of each text, in order. Texts are taken in runs of about so many characters; the distinct
+        words of a run are looked up once, and arrow and numpy put the ids together."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= characters):
+                size += len(texts[end] or "")
+                end += 1
+            yield from self._run(texts[at:end])
+            at = end
+
+    def _run(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        plain = [k for k, x in enumerate(texts) if self.cut and x and not _ODD_SPACE.search(x)]
+        for k in set(range(len(texts))) - set(plain):
+            out[k] = self.encode(texts[k])
+        if not plain:
+            return out
+        lists = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+        words, offsets = lists.flatten(), lists.offsets.to_numpy()
+        coded = words.dictionary_encode()
+        leads = words.take(pa.array(offsets[:-1]))
+        ids = [self.spaced[x] for x in coded.dictionary.to_pylist()]
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[offsets[:-1]] = len(ids) + np.arange(len(plain))
+        ids += [self.first[x] for x in leads.to_pylist()]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(lengths) - lengths
+        own = lengths[at]
+        ends = np.cumsum(own)
+        got = pool[np.repeat(begins[at] - (ends - own), own) + np.arange(int(ends[-1]))]
+        cuts = np.concatenate([[0], ends])[offsets]
+        for k, a, z in zip(plain, cuts, cuts[1:], strict=False):
+            out[k] = got[a:z]
         return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder a process and file: a worker's memory outlives its tasks."""
+    return Encoder(path)

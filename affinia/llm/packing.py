@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.encode import Encoder
+from affinia.llm.encode import Encoder, encoder
 from affinia.llm.token_store import pack, unpack, width_for
 
 
@@ -104,17 +104,17 @@ def pack_documents(
     """
     width = width_for(max(Encoder(tokenizer).vocabulary, (end_id or 0) + 1))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
+    tail = np.asarray([] if end_id is None else [end_id], "<u4")
     groups = max(1, -(-chosen.count() // group_docs))
 
     def encode(it) -> Iterator:
         import pyarrow as pa
 
-        encoder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         for batch in it:
             n, ids = [], []
-            for text in batch.column(1):
-                own = np.frombuffer(encoder.encode(text.as_py()) + tail, "<u4")
+            for own in coder.encode_many(batch.column(1).to_pylist()):
+                own = np.concatenate([own, tail])
                 n.append(len(own))
                 ids.append(pack(own, width))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])

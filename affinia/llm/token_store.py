@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinia.llm.encode import Encoder
+from affinia.llm.encode import Encoder, encoder
 
 #: Written before the packed ids of a block: format and version.
 MAGIC = b"FWBP0001"
@@ -30,12 +30,13 @@ def width_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Pack ids at a width of 1 to 32 bits into little-endian 64-bit words."""
-    ids = np.asarray(ids, np.uint64)
+    ids = np.asarray(ids)
     if len(ids) and int(ids.max()) >> width:
         raise ValueError("an id needs more bits than the width")
     if width in (8, 16, 32):
         raw = ids.astype(f"<u{width // 8}").tobytes()
         return raw + bytes(-len(raw) % 8)
+    ids = ids.astype(np.uint64)
     bit = np.arange(len(ids), dtype=np.uint64) * np.uint64(width)
     word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
     out = np.zeros((len(ids) * width + 63) // 64 + 1, np.uint64)
@@ -73,31 +74,31 @@ def write_store(
     width = width_for(max(Encoder(tokenizer).vocabulary, (end_id or 0) + 1))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
+    tail = np.asarray([] if end_id is None else [end_id], "<u4")
 
     def rows(it) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         offsets = [0]
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             row = (shard, block, start, len(ids), width, doc_ids, offsets, MAGIC + pack(ids, width))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=names)
 
         for batch in it:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py()) + tail
+            coded = coder.encode_many(batch.column(1).to_pylist())
+            for doc_id, ids in zip(batch.column(0), coded, strict=True):
                 doc_ids.append(doc_id.as_py())
-                parts.append(ids)
-                offsets.append(offsets[-1] + len(ids) // 4)
+                parts += [ids, tail]
+                offsets.append(offsets[-1] + len(ids) + len(tail))
                 if offsets[-1] >= block_ids:
                     yield closed()
                     block, start, doc_ids, parts, offsets = block + 1, start + offsets[-1], [], [], [0]
