@@ -4,9 +4,10 @@ Documents of equal shingle sets are one node. A node's signature has a number of
 a few min-hashes. Nodes are posted under coordinate-value pairs: values that only one node has are skipped,
 the others stand in the order of how rare they are, and only the prefix that two signatures with enough
 equal coordinates must share is merged. Within a posting list every node meets the list's smallest one; the
-links found are joined into components, and then only nodes outside a list's main component meet the
-others, so that a list of many near copies is never expanded into all its pairs. The equal coordinates of
-each pair are counted, those above the threshold are confirmed on the full sets.
+links found are joined into components, and then only nodes outside a list's main component meet those
+others that they can still be linked with by what both differ from the smallest one in, so that a list of
+many near copies is never expanded into all its pairs. The equal coordinates of such a pair are counted, and
+those above the threshold are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinia.llm.common import Memo, written
@@ -111,23 +112,30 @@ def shared_tokens(nodes: DataFrame, coordinates: int, need: int) -> DataFrame:
     return own.join(nodes.select("id", "n"), "id")
 
 
-def _pairs_with(postings: DataFrame, chosen: DataFrame, keep) -> DataFrame:
-    """Distinct pairs a < b of a posting of chosen (token, other, ...) and one of its list."""
-    met = postings.join(chosen, "token").filter(keep)
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+def _estimated(pairs: DataFrame, cand: DataFrame, need: int) -> DataFrame:
+    """Pairs with ``need`` equal coordinates or more."""
+    for side in ("a", "b"):
+        pairs = pairs.join(cand.select(F.col("id").alias(side), F.col("shared").alias(f"s_{side}")), side)
+    return pairs.filter(F.size(F.array_intersect("s_a", "s_b")) >= need).select("a", "b")
 
 
-def _estimated(pairs: DataFrame, cand: DataFrame, need: int, percent: int) -> DataFrame:
-    """Pairs with ``need`` equal coordinates or more whose set sizes allow the similarity."""
-    for side in ("a", "b"):
-        own = cand.select(F.col("id").alias(side), F.col("shared").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
-        pairs = pairs.join(own, side)
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.filter(fits & (F.size(F.array_intersect("s_a", "s_b")) >= need)).select("a", "b")
+def _full_sets(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
+    """(id, items): the sorted shingle hashes of the chosen nodes, from their documents' whole texts."""
+
+    def rows(it) -> Iterator:
+        import pyarrow as pa
+
+        memo = _word_memo()
+        for batch in it:
+            found = [shingles(x.as_buffer().to_pybytes(), shingle, memo).tobytes() if x.is_valid else b"" for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "items"])
+
+    own = docs.join(chosen, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
+    return own.mapInArrow(rows, "id long, items binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, common): set sizes and what the full sets of each pair have in common."""
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("items").alias(f"x_{side}")), side)
 
@@ -135,14 +143,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in it:
-            keep = []
+            out = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                out.append((len(x), len(y), np.intersect1d(x, y, assume_unique=True).size))
+            cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["a", "b", "n_a", "n_b", "common"])
+
+    return pairs.select("a", "b", "x_a", "x_b").mapInArrow(rows, "a long, b long, n_a long, n_b long, common long")
+
+
+def _linked(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
+
+
+def _own_items(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, own): how many items of a chosen node no other chosen node has. Hash collisions lower it."""
+
+    def rows(it) -> Iterator:
+        import pyarrow as pa
+
+        for batch in it:
+            for node, items in zip(batch.column(0), batch.column(1), strict=True):
+                items = np.frombuffer(items.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(np.full(len(items), node.as_py()))], names=["item", "id"])
+
+    items = sets.join(chosen, "id", "left_semi").select("id", "items").mapInArrow(rows, "item long, id long")
+    alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
 
-    return pairs.select("a", "b", "x_a", "x_b").mapInArrow(rows, "a long, b long")
+def _across(placed: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a list in different components that can still be linked.
+
+    placed: token, id, comp, head; stars: a, b, n_a, n_b, common. Sets linked at t differ in at most
+    (1 - t) / (1 + t) of their sizes' sum. By what two nodes of a list differ from its head in - items they
+    lack and items they add, of which their own ones are shared with nobody - the size of that difference
+    is bounded from below. Only pairs within both bounds are made, and nodes that are in no such pair,
+    judged by the best values of their list, leave it first.
+    """
+    sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rows = written(placed.join(main.select("token", "main"), "token"), "open-postings")
+    own = _own_items(sets, rows.select("id").distinct())
+    both = stars.select("a", "b", "n_a", "n_b", "common").unionByName(
+        stars.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "common")
+    )
+    both = both.select(F.col("a").alias("head"), F.col("b").alias("id"), F.col("n_b").alias("size"), (F.col("n_a") - F.col("common")).alias("lacks"), (F.col("n_b") - F.col("common")).alias("adds"))
+    heads = sets.select(F.col("id").alias("head"), F.col("id"), F.floor(F.length("items") / 8).alias("size"), F.lit(0).cast("long").alias("lacks"), F.lit(0).cast("long").alias("adds"))
+    heads = heads.join(rows.select("head").distinct(), "head", "left_semi")
+    rows = rows.join(both.unionByName(heads), ["head", "id"]).join(own, "id", "left")
+    alike = F.greatest(F.lit(0), F.col("adds") - F.coalesce("own", F.lit(0)))
+    share = (100 - percent) / (100 + percent)
+    apart = F.col("lacks") + F.col("adds")
+    rows = rows.select("token", "id", "comp", "main", "size", "lacks", alike.alias("alike"), apart.alias("apart"))
+    reach = 2 * (F.col("lacks") + F.col("alike")) - F.col("apart") + share * F.col("size")
+    claim = F.col("apart") - share * F.col("size")
+    rows = written(rows.withColumns({"reach": reach, "claim": claim}), "open-postings")
+    best = rows.groupBy("token").agg(F.max("reach").alias("top"), F.min("claim").alias("low"))
+    rows = rows.join(best, "token").filter((F.col("claim") <= F.col("top") + 1e-6) & (F.col("reach") >= F.col("low") - 1e-6))
+    kept = ["token", "id", "comp", "size", "lacks", "alike", "apart"]
+    outside = rows.filter("comp <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in kept[1:]))
+    met = F.least("lacks", "o_lacks") + F.least("alike", "o_alike")
+    fits = 100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size")
+    near = 2 * met >= F.col("apart") + F.col("o_apart") - share * (F.col("size") + F.col("o_size")) - 1e-6
+    pairs = rows.select(*kept).join(outside, "token").filter((F.col("comp") != F.col("o_comp")) & fits & near)
+    pairs = pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+    return pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_duplicates(
@@ -167,32 +234,17 @@ def near_duplicates(
     nodes = drawn.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
     nodes = written(nodes.select("digest", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")), "nodes")
     cand = written(shared_tokens(nodes, coordinates, need), "candidates")
-
-    def full_sets(it) -> Iterator:
-        import pyarrow as pa
-
-        memo = _word_memo()
-        for batch in it:
-            found = [shingles(x.as_buffer().to_pybytes(), shingle, memo).tobytes() if x.is_valid else b"" for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "items"])
+    sets = written(_full_sets(docs, cand.select("id"), shingle), "full-sets")
 
     postings = written(cand.select("id", F.explode("prefix").alias("token")), "postings")
-    heads = postings.groupBy("token").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    stars = written(_estimated(_pairs_with(postings, heads, F.col("id") != F.col("other")), cand, need, percent), "star-pairs")
-    chosen = cand.select("id")
-    sets = docs.join(chosen, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(full_sets, "id long, items binary")
-    sets = written(sets, "full-sets")
-    links = written(_confirmed(stars, sets, percent), "star-links")
-    joined = written(components(links), "star-components")
-    placed = postings.join(joined, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp"))
-    placed = written(placed, "placed-postings")
-    sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    outside = placed.join(main.select("token", "main"), "token").filter("comp <> main")
-    outside = outside.select("token", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-    across = _pairs_with(placed, outside, F.col("comp") != F.col("other_comp"))
-    across = written(_estimated(across.join(stars, ["a", "b"], "left_anti"), cand, need, percent), "other-pairs")
-    more = _confirmed(across, sets, percent)
+    heads = postings.groupBy("token").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    lists = written(postings.join(heads.select("token", "head"), "token"), "lists")
+    pairs = lists.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    stars = written(_common(pairs, sets), "stars")
+    joined = written(components(stars.filter(_linked(percent)).select("a", "b")), "star-components")
+    placed = lists.join(joined, "id", "left").select("token", "id", "head", F.coalesce("component", "id").alias("comp"))
+    across = _estimated(_across(placed, stars, sets, percent), cand, need)
+    more = _common(across, sets).filter(_linked(percent)).select("a", "b")
     edges = joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = components(edges)
     reps = nodes.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
