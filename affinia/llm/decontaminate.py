@@ -124,7 +124,8 @@ def match_benchmark(docs: DataFrame, items: DataFrame, width: int = 8, min_items
     found = meet(index, places, places.count())
     per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "words", "width", "diagonal")).alias("found"))
     per_doc = written(per_doc.withColumnRenamed("doc_id", "h_id"), "candidates")
-    rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
+    # candidates grow with the documents: the join is by shuffle at every size
+    rows = docs.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
     rows = rows.select("doc_id", words_of(F.col("text")).alias("words"), "found")
     hits = F.transform("found", lambda c: F.struct(c["item_id"].alias("item_id"), c["width"].alias("width"), _exact(F.col("words"), c).alias("starts")))
     hits = F.coalesce(F.filter(hits, lambda h: F.size(h["starts"]) > 0), F.array().cast("array<struct<item_id:string,width:int,starts:array<int>>>"))
@@ -149,5 +150,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 8) -> Data
     Items of fewer words say too little to drop a document for. Rows with a null doc_id are judged together.
     """
     found = match_benchmark(docs, items, width=width, min_items=1, whole_windows=True)
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    bad = written(found.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated").hint("merge")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
