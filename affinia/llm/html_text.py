@@ -83,7 +83,8 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
 
 def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
     """Blocks of a page in order: their text, with white space turned to single spaces, and counts of
-    features: words by where they stand (main, plain, link, aside) and tags (block, inline, link)."""
+    features: words by where they stand (main, plain, link, aside) and tags (block, inline, link); ``-in``
+    marks those in an element that is named as the main one."""
     out: list[tuple[str, dict[str, int]]] = []
     stack: list[tuple[str, str]] = []
     depth = {"silent": 0, "aside": 0, "main": 0, "a": 0}
@@ -105,14 +106,14 @@ def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
             if not depth["silent"]:
                 parts.append(value)
                 if n := len(value.split()):
-                    put("aside" if depth["aside"] else "link" if depth["a"] else "main" if depth["main"] else "plain", n)
+                    put(("aside" if depth["aside"] else "link" if depth["a"] else "plain") + "-in" * (depth["main"] > 0), n)
             continue
         block = value in BLOCK
         if block:
             flush()
         elif value == "br":
             parts.append(" ")
-        put("t-block" if block else "t-link" if value == "a" else "t-inline")
+        put(("t-block" if block else "t-link" if value == "a" else "t-inline") + "-in" * (depth["main"] > 0))
         if value in VOID:
             continue
         if what == "open":
@@ -149,28 +150,38 @@ def _labelled() -> list[tuple[str, set[str]]]:
         pages.append((f'<html><body>{nav}<div class="ad">buy this now</div><article><h1>The title</h1>{paragraphs}</article>{foot}</body></html>', {"The title", *body}))
         pages.append((f'<html><body>{menu}<div id="c"><h2>The title</h2>{paragraphs}</div>{comments}{foot}</body></html>', {"The title", *body}))
         pages.append((f'<html><body><header>Site name</header><main><h1>The title</h1>{paragraphs}</main><aside><p>Read more</p><ul><li><a href="#">next</a></li></ul></aside></body></html>', {"The title", *body}))
+        items = [f"{k} short item" for k in range(4 * n)]
+        listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+        brief = [f"{k} brief." for k in range(4 * n)]
+        for own, texts in ((listed, items), ("".join(f"<div><p>{x}</p></div>" for x in brief), brief)):
+            pages.append((f'<html><body>{nav}<div id="c"><h2>The title</h2>{own}{paragraphs}{own}</div>{foot}</body></html>', {"The title", *body, *texts}))
+        inner = '<div class="advert">Buy this</div><form><label>Mail</label><input></form><aside>See also</aside>'
+        pages.append((f'<html><body>{nav}<article><h1>The title</h1>{paragraphs}{inner}<p>Last words.</p></article>{comments}{foot}</body></html>', {"The title", *body, "Last words."}))
+        pages.append((f'<html><body>{menu}<div class="post"><h2>The title</h2>{paragraphs}{inner}<p>Last <a href="#">words</a>.</p></div>{comments}{foot}</body></html>', {"The title", *body, "Last words."}))
         pages.append((f'<table><tr><td><a href="/">home</a></td><td><a href="/b">news</a></td></tr><tr><td>{body[0]}<br>{" ".join(body[1:])}</td></tr></table>', {" ".join(body)}))
     return pages
 
 
 @cache
 def learned_weights() -> dict[str, float]:
-    """Log odds of each feature in main blocks against others, with one added to each count; words of main
-    text are kept above zero and tags below, as the method asks."""
+    """Log odds of each feature between the first and the last main block against elsewhere, with one added
+    to each count; words of text are kept above zero and tags below, as the method asks."""
     inside: dict[str, int] = {}
     outside: dict[str, int] = {}
     for page, main in _labelled():
-        for text, counts in blocks(page):
-            into = inside if text in main else outside
+        found = blocks(page)
+        places = [k for k, (text, _) in enumerate(found) if text in main]
+        for at, (_, counts) in enumerate(found):
+            into = inside if places[0] <= at <= places[-1] else outside
             for k, n in counts.items():
                 into[k] = into.get(k, 0) + n
-    kinds = ["main", "plain", "link", "aside", "t-block", "t-inline", "t-link"]
+    kinds = [k + i for k in ("plain", "link", "aside", "t-block", "t-inline", "t-link") for i in ("", "-in")]
     a, b = (sum(x.values()) + len(kinds) for x in (inside, outside))
     odds = {k: math.log((inside.get(k, 0) + 1) / a) - math.log((outside.get(k, 0) + 1) / b) for k in kinds}
     for k in kinds:
         if k.startswith("t-"):
             odds[k] = min(odds[k], -0.1)
-        elif k in ("main", "plain"):
+        elif k.startswith("plain"):
             odds[k] = max(odds[k], 0.1)
     return odds
 
@@ -195,7 +206,7 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     weights = weights or learned_weights()
     found = blocks(page)
     start, end = best_region([sum(weights[k] * n for k, n in counts.items()) for _, counts in found])
-    return "\n".join(text for text, counts in found[start:end] if text and not counts.get("aside"))
+    return "\n".join(text for text, counts in found[start:end] if text and not (counts.get("aside") or counts.get("aside-in")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
