@@ -198,22 +198,22 @@ def _capital(word: str) -> bool:
 
 def entities(text: str) -> list[tuple[int, int, str, re.Match]]:
     """(start, end, kind, match) of each entity, in order."""
-    out = []
-    if _MAYBE.search(text):
-        for m in _PATTERN.finditer(text):
-            kind = m.lastgroup
-            if kind == "person":
-                words = re.split(r"[ \xa0]", m["name"])
-                n = next((k for k, w in enumerate(words) if not _capital(w)), len(words))
-                if not n:
-                    continue
-                start = m.start("name")
-                out.append((start, start + len(" ".join(words[:n])), kind, m))
-                continue
-            end = m.end()
-            if kind == "email":
-                end -= len(m[0]) - len(m[0].rstrip(".-"))
-            out.append((m.start(), end, kind, m))
+    out: list[tuple[int, int, str, re.Match]] = []
+    if not _MAYBE.search(text):
+        return out
+    m = _PATTERN.search(text)
+    while m:
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        if kind == "person":  # as many of the words as are capitalised
+            words = re.split(r"[ \xa0]", m["name"])
+            n = next((k for k, w in enumerate(words) if not _capital(w)), len(words))
+            start = m.start("name")
+            end = start + len(" ".join(words[:n]))
+        elif kind == "email":
+            end -= len(m[0]) - len(m[0].rstrip(".-"))
+        if end > start:
+            out.append((start, end, kind, m))
+        m = _PATTERN.search(text, max(end, m.start() + 1))
     return out
 
 
