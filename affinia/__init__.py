@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Affinity analytics and corpus preparation on Spark."""

@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Column helpers."""

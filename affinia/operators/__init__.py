@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Operators: functions from frames to frames."""

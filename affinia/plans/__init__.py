@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""The query catalogue."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from affinia.functions.numeric import rounded
 from affinia.operators import grids, inference, regression, similarity
 from affinia.plans.base import BALLOTS, PANEL, ballots, perms, query, r6, split_ballots
+from affinia.sources.shared import written
 from affinia.sources.tables import entries, labels
 
 DRAWS = 200
@@ -266,3 +267,11 @@ def q52(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = regression.year_effects(panel).select(F.round("coefficient", 9).alias("b"))
     rows = null.select(F.round("coefficient", 9).alias("c")).crossJoin(F.broadcast(seen))
     return rows.agg(rounded(F.max("b")).alias("observed"), rounded(inference.two_sided_p(F.col("c"), F.col("b"))).alias("p_value"), F.count("c").alias("n_draws"))
+
+
+@query("q52_mrqap_song_fe")
+def q52_song(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = written(causal_of(spark, sf_dir), "causal-panel")
+    null = regression.song_permutation_coefficients(spark, panel, labels(spark, sf_dir), DRAWS, "mrqap")
+    p = inference.two_sided_p(F.round("coefficient", 9), F.round("observed", 9))
+    return null.agg(rounded(F.max("observed")).alias("observed"), rounded(p).alias("p_value"), F.count("coefficient").alias("n_draws"))

@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Readers, writers and adapters."""

@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Batch only: no streaming operator is part of this work."""

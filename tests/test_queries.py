@@ -23,3 +23,10 @@ def test_entry(spark, tables):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["a", "b", "sim"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_song_effects_agree(spark, tables):
+    """The permutation test's observed coefficient is that of model M4."""
+    q = QUERIES["q52_mrqap_song_fe"](spark, tables[0]).first()
+    m4 = QUERIES["q50_ols_models_cluster_se"](spark, tables[0]).filter("model = 'M4' AND term = 'same_bloc'").first()
+    assert abs(q.observed - m4.coefficient) < 1e-3 and 0 < q.p_value <= 1 and q.n_draws > 0
