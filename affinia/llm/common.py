@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from affinia.sources.shared import shared_dir, written
+
+__all__ = ["ARROW_ROWS", "Memo", "documents", "shared_dir", "table", "tokenizer_path", "wide_rows", "written"]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -17,27 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='affinia-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Rows in a batch between Spark and Python: whole texts and shingle sets are wide.
+ARROW_ROWS = 1000
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back.
-
-    The files go when the driver's JVM ends in good order.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+def wide_rows(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are held to ARROW_ROWS rows: batches are buffered off-heap on
+    one side and in the worker on the other, so their size bounds memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df
 
 
 class Memo(dict):

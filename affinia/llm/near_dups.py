@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.common import Memo, written
+from affinia.llm.common import Memo, wide_rows, written
 from affinia.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -134,10 +134,25 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
     return own.mapInArrow(rows, "id long, items binary")
 
 
-def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, common): set sizes and what the full sets of each pair have in common."""
+#: 64-bit words of the bit map of what two sets differ in.
+_WORDS = 8
+
+
+def _bit_map(items: np.ndarray) -> tuple[np.ndarray, int]:
+    """A bit for each item, and how many items found theirs set already."""
+    with np.errstate(over="ignore"):
+        places = (items * _MIX) >> np.uint64(64 - (64 * _WORDS - 1).bit_length())
+    bits = np.zeros(64 * _WORDS, bool)
+    bits[places.astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64), len(items) - int(bits.sum())
+
+
+def _common(pairs: DataFrame, sets: DataFrame, maps: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, common): set sizes and what the full sets of each pair have in common; with
+    ``maps`` also bit maps of what b lacks and adds, against a, with the items beyond one a bit."""
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("items").alias(f"x_{side}")), side)
+    names = ["a", "b", "n_a", "n_b", "common", *["lack_map", "lack_more", "add_map", "add_more"] * maps]
 
     def rows(it) -> Iterator:
         import pyarrow as pa
@@ -146,11 +161,23 @@ def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                out.append((len(x), len(y), np.intersect1d(x, y, assume_unique=True).size))
-            cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["a", "b", "n_a", "n_b", "common"])
+                both = np.intersect1d(x, y, assume_unique=True)
+                row = [len(x), len(y), len(both)]
+                if maps:
+                    row += [*_bit_map(np.setdiff1d(x, both, True)), *_bit_map(np.setdiff1d(y, both, True))]
+                out.append(row)
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int64()] * 2 * maps
+            cols = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=names)
+
+    schema = "a long, b long, n_a long, n_b long, common long" + ", lack_map array<long>, lack_more long, add_map array<long>, add_more long" * maps
+    return pairs.select("a", "b", "x_a", "x_b").mapInArrow(rows, schema)
+
 
-    return pairs.select("a", "b", "x_a", "x_b").mapInArrow(rows, "a long, b long, n_a long, n_b long, common long")
+def _met(count: str, bits: str, more: str) -> Column:
+    """Upper bound of what two nodes have in common in a part of their difference from the head."""
+    shared = sum((F.bit_count(F.col(bits)[k].bitwiseAND(F.col(f"o_{bits}")[k])) for k in range(_WORDS)), F.lit(0))
+    return F.least(F.col(count), F.col(f"o_{count}"), shared + F.least(more, f"o_{more}"))
 
 
 def _linked(percent: int) -> Column:
@@ -176,38 +203,42 @@ def _own_items(sets: DataFrame, chosen: DataFrame) -> DataFrame:
 def _across(placed: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a list in different components that can still be linked.
 
-    placed: token, id, comp, head; stars: a, b, n_a, n_b, common. Sets linked at t differ in at most
-    (1 - t) / (1 + t) of their sizes' sum. By what two nodes of a list differ from its head in - items they
-    lack and items they add, of which their own ones are shared with nobody - the size of that difference
-    is bounded from below. Only pairs within both bounds are made, and nodes that are in no such pair,
-    judged by the best values of their list, leave it first.
+    placed: token, id, comp, head; stars: as _common() with maps gives it. Sets linked at t differ in at
+    most (1 - t) / (1 + t) of their sizes' sum. By what two nodes of a list differ from its head in - items
+    they lack and items they add, of which their own ones are shared with nobody - the size of that
+    difference is bounded from below; bit maps bound what they lack or add together. Lists of one head
+    meet at once. Only pairs within the bounds are made, and nodes that are in no such pair, judged by the
+    best values under their head, leave first.
     """
-    sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    rows = written(placed.join(main.select("token", "main"), "token"), "open-postings")
+    under = placed.select("head", "id", "comp").distinct()
+    sizes = under.groupBy("head", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("head").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rows = written(under.join(main.select("head", "main"), "head"), "open-lists")
     own = _own_items(sets, rows.select("id").distinct())
-    both = stars.select("a", "b", "n_a", "n_b", "common").unionByName(
-        stars.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "common")
-    )
-    both = both.select(F.col("a").alias("head"), F.col("b").alias("id"), F.col("n_b").alias("size"), (F.col("n_a") - F.col("common")).alias("lacks"), (F.col("n_b") - F.col("common")).alias("adds"))
-    heads = sets.select(F.col("id").alias("head"), F.col("id"), F.floor(F.length("items") / 8).alias("size"), F.lit(0).cast("long").alias("lacks"), F.lit(0).cast("long").alias("adds"))
-    heads = heads.join(rows.select("head").distinct(), "head", "left_semi")
-    rows = rows.join(both.unionByName(heads), ["head", "id"]).join(own, "id", "left")
-    alike = F.greatest(F.lit(0), F.col("adds") - F.coalesce("own", F.lit(0)))
+    none = F.array(*[F.lit(0).cast("long")] * _WORDS)
+    zero = F.lit(0).cast("long")
+    size = F.floor(F.length("items") / 8)
+    heads = sets.join(rows.select(F.col("head").alias("id")).distinct(), "id", "left_semi").select(
+        F.col("id").alias("a"), F.col("id").alias("b"), size.alias("n_a"), size.alias("n_b"), size.alias("common"),
+        none.alias("lack_map"), zero.alias("lack_more"), none.alias("add_map"), zero.alias("add_more"),
+    )
+    told = stars.unionByName(heads).withColumnsRenamed({"a": "head", "b": "id"})
+    rows = rows.join(told, ["head", "id"]).join(own, "id", "left")
+    lacks, adds = F.col("n_a") - F.col("common"), F.col("n_b") - F.col("common")
     share = (100 - percent) / (100 + percent)
-    apart = F.col("lacks") + F.col("adds")
-    rows = rows.select("token", "id", "comp", "main", "size", "lacks", alike.alias("alike"), apart.alias("apart"))
+    rows = rows.withColumns({"size": F.col("n_b"), "lacks": lacks, "alike": F.greatest(F.lit(0), adds - F.coalesce("own", F.lit(0))), "apart": lacks + adds})
     reach = 2 * (F.col("lacks") + F.col("alike")) - F.col("apart") + share * F.col("size")
     claim = F.col("apart") - share * F.col("size")
-    rows = written(rows.withColumns({"reach": reach, "claim": claim}), "open-postings")
-    best = rows.groupBy("token").agg(F.max("reach").alias("top"), F.min("claim").alias("low"))
-    rows = rows.join(best, "token").filter((F.col("claim") <= F.col("top") + 1e-6) & (F.col("reach") >= F.col("low") - 1e-6))
-    kept = ["token", "id", "comp", "size", "lacks", "alike", "apart"]
-    outside = rows.filter("comp <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in kept[1:]))
-    met = F.least("lacks", "o_lacks") + F.least("alike", "o_alike")
+    kept = ["id", "comp", "size", "lacks", "alike", "apart", "lack_map", "lack_more", "add_map", "add_more"]
+    rows = written(rows.select("head", "main", *kept, reach.alias("reach"), claim.alias("claim")), "open-lists")
+    best = rows.groupBy("head").agg(F.max("reach").alias("top"), F.min("claim").alias("low"))
+    rows = rows.join(best, "head").filter((F.col("claim") <= F.col("top") + 1e-6) & (F.col("reach") >= F.col("low") - 1e-6))
+    outside = rows.filter("comp <> main").select("head", *(F.col(c).alias(f"o_{c}") for c in kept))
+    met = _met("lacks", "lack_map", "lack_more") + _met("alike", "add_map", "add_more")
     fits = 100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size")
     near = 2 * met >= F.col("apart") + F.col("o_apart") - share * (F.col("size") + F.col("o_size")) - 1e-6
-    pairs = rows.select(*kept).join(outside, "token").filter((F.col("comp") != F.col("o_comp")) & fits & near)
+    other = F.col("comp") != F.col("o_comp")
+    pairs = rows.select("head", *kept).join(outside, (rows["head"] == outside["head"]) & other & fits & near)
     pairs = pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
     return pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
 
@@ -227,7 +258,7 @@ def near_duplicates(
     null doc_id are ignored. Rows that share a doc_id are one node, linked with what any of them is linked
     with; each gives a row. An empty table gives no rows. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.filter("doc_id IS NOT NULL")
     need = match_threshold(coordinates, width, percent / 100)
     drawn = written(sketches(docs, shingle, coordinates, width), "sketches")
@@ -240,7 +271,7 @@ def near_duplicates(
     heads = postings.groupBy("token").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     lists = written(postings.join(heads.select("token", "head"), "token"), "lists")
     pairs = lists.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    stars = written(_common(pairs, sets), "stars")
+    stars = written(_common(pairs, sets, maps=True), "stars")
     joined = written(components(stars.filter(_linked(percent)).select("a", "b")), "star-components")
     placed = lists.join(joined, "id", "left").select("token", "id", "head", F.coalesce("component", "id").alias("comp"))
     across = _estimated(_across(placed, stars, sets, percent), cand, need)
