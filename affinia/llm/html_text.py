@@ -17,6 +17,8 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinia.llm.common import wide_rows
+
 # Fixed values of HTML: elements without text, without an end, and those that part blocks.
 SILENT = {"script", "style", "noscript", "template", "textarea", "select", "option", "button", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "map", "datalist"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
@@ -228,5 +230,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    chosen = wide_rows(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return chosen.mapInArrow(rows, "page_id long, url string, text string, n_chars long")

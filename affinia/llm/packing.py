@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinia.llm.common import wide_rows
 from affinia.llm.encode import Encoder, encoder
 from affinia.llm.token_store import pack, unpack, width_for
 
@@ -103,7 +104,7 @@ def pack_documents(
     packed each. An empty table gives no rows. Other columns are ignored.
     """
     width = width_for(max(Encoder(tokenizer).vocabulary, (end_id or 0) + 1))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tail = np.asarray([] if end_id is None else [end_id], "<u4")
     groups = max(1, -(-chosen.count() // group_docs))
 

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from affinia.llm.common import wide_rows
+
 # Titles by gender, and name pools by script and gender.
 TITLES = {
     "m": ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"],
@@ -288,7 +290,7 @@ def replace_pii(docs: DataFrame, key: str = "affinia", id_col: str = "doc_id", t
     An empty table gives no rows.
     """
     secret = hashlib.sha256(key.encode()).digest()
-    docs = docs.drop("pii_kinds")
+    docs = wide_rows(docs).drop("pii_kinds")
     at = docs.columns.index(text_col)
 
     def rows(it) -> Iterator:

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.common import Memo, tokenizer_path
+from affinia.llm.common import Memo, tokenizer_path, wide_rows
 
 #: Fixed value of the piece vocabulary: the mark that stands before a word.
 WORD_MARK = "▁"
@@ -121,5 +121,5 @@ def count_tokens(
                 names=[id_col, "n_words", "n_tokens", "n_chars"],
             )
 
-    chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
+    chosen = wide_rows(docs).select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     return chosen.mapInArrow(batches, f"{id_col} long, n_words long, n_tokens long, n_chars long")

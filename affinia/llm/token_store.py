@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from affinia.llm.common import wide_rows
 from affinia.llm.encode import Encoder, encoder
 
 #: Written before the packed ids of a block: format and version.
@@ -72,7 +73,7 @@ def write_store(
     one. Equal rows are stored each. Other columns are ignored. An empty table gives a store without blocks.
     """
     width = width_for(max(Encoder(tokenizer).vocabulary, (end_id or 0) + 1))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tail = np.asarray([] if end_id is None else [end_id], "<u4")
 
