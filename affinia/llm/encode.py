@@ -57,7 +57,7 @@ class Encoder:
     chunks at most; chunks longer than ``longest`` are not kept.
     """
 
-    def __init__(self, path: str, entries: int = 500_000, longest: int = 40):
+    def __init__(self, path: str, entries: int = 400_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
@@ -144,19 +144,34 @@ class Encoder:
             return out
         lists = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
         words, offsets = lists.flatten(), lists.offsets.to_numpy()
-        coded = words.dictionary_encode()
-        leads = words.take(pa.array(offsets[:-1]))
-        ids = [self.spaced[x] for x in coded.dictionary.to_pylist()]
+        # each word as a stem and the marks at its end, where these follow an ASCII letter
+        _, ends, data = words.buffers()
+        ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1]
+        stems = pc.binary_length(pc.utf8_rtrim(words, characters=_MARKS)).to_numpy()
+        last = np.frombuffer(data, np.uint8)[np.maximum(ends[:-1] + stems - 1, 0)] | 32
+        stems = np.where((stems > 0) & (last >= 97) & (last <= 122), stems, np.diff(ends))
+        parts = np.empty(2 * len(words) + 1, np.int64)
+        parts[::2], parts[1::2] = ends, ends[:-1] + stems
+        coded = pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(parts), data).dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
-        at[offsets[:-1]] = len(ids) + np.arange(len(plain))
-        ids += [self.first[x] for x in leads.to_pylist()]
+        known = coded.dictionary.to_pylist()
+        ids = [b""] * (2 * len(known))
+        leads = 2 * offsets[:-1]
+        first = at[leads]
+        at[leads] = 2 * len(known) + np.arange(len(plain))
+        for k in np.unique(np.delete(at[::2], offsets[:-1])).tolist():
+            ids[k] = self.spaced[known[k]]
+        for k in np.unique(at[1::2]).tolist():
+            ids[len(known) + k] = self.first[known[k]]
+        at[1::2] += len(known)
+        ids += [self.first[known[k]] for k in first.tolist()]
         pool = np.frombuffer(b"".join(ids), "<u4")
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begins = np.cumsum(lengths) - lengths
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        begins = np.cumsum(lengths, dtype=np.int32) - lengths
         own = lengths[at]
-        ends = np.cumsum(own)
-        got = pool[np.repeat(begins[at] - (ends - own), own) + np.arange(int(ends[-1]))]
-        cuts = np.concatenate([[0], ends])[offsets]
+        ends = np.cumsum(own, dtype=np.int64)
+        got = pool[np.repeat(begins[at] - (ends - own).astype(np.int32), own) + np.arange(int(ends[-1]), dtype=np.int32)]
+        cuts = np.concatenate([[0], ends])[2 * offsets]
         for k, a, z in zip(plain, cuts, cuts[1:], strict=False):
             out[k] = got[a:z]
         return out
