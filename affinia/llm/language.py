@@ -10,7 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinia.llm.common import wide_rows
+
 UNKNOWN = "und"
+#: Languages a model may have; their counts go to the driver.
+MOST_LANGUAGES = 10_000
 
 
 @cache
@@ -97,11 +101,19 @@ def fit(
     ``slack`` times the least similarity among a centroid's own documents is its rejection threshold.
     """
     ids = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sizes:
+        return Centroids(np.ones(size), np.zeros((size, 0)), [], np.zeros(0))
+    # hashes are uniform, so this share holds the smallest ones; a frequent language sends few rows on
+    shares = [(r[0], min(1.0, (1.5 * per_language + 100) / r[1])) for r in sizes]
+    shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "s_lang string, share double"))
+    place = (F.col("h") / float(2**63) + 1) / 2
+    ids = ids.join(shares, F.col("lang") == F.col("s_lang")).filter(place <= F.col("share")).select("doc_id", "lang", "h")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
     pairs = [(r[0], r[1]) for r in ids.select("doc_id", "lang").distinct().collect()]
-    if not pairs:
-        return Centroids(np.ones(size), np.zeros((size, 0)), [], np.zeros(0))
     wanted = labelled.sparkSession.createDataFrame(pairs, "w_id long, w_lang string")
     rows = labelled.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("lang") == F.col("w_lang")))
 
@@ -173,7 +185,7 @@ def detect_language(docs: DataFrame, per_language: int = 1000, size: int = 1 <<
     lang, source and doc_id are no input of a prediction. See ``fit`` and ``identify`` for bounds and
     edge cases; a null doc_id is never held out and never learned from.
     """
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    chosen = wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(chosen.filter(F.col("doc_id").isNotNull() & ~held_out()), per_language, size, k, slack=slack)
     found = identify(chosen, model)
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
@@ -190,4 +202,4 @@ def keep_identified(docs: DataFrame, model: Centroids) -> DataFrame:
             keep = [not model.predict(text.as_py())[2] for text in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return wide_rows(docs).mapInArrow(rows, docs.schema)
