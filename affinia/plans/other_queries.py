@@ -282,13 +282,14 @@ SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(ns, lambda
 )
 def q69(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.array_join(textmatch.names_in(F.substring("text", 1, 40), GAZETTEER), ",").alias("keys"))
+    return docs.select("doc_id", F.array_join(textmatch.names_in(F.col("text"), GAZETTEER), ",").alias("keys"))
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents have no title of their own, so the whole text is looked through as one."""
     docs = table(spark, sf_dir, "documents")
     year = (1995 + F.col("doc_id") % 7).cast("int")
-    posts = docs.select(F.col("doc_id").alias("slug"), year.alias("year"), F.substring("text", 1, 30).alias("title"), F.substring("text", 31, 2000).alias("text"))
+    posts = docs.select(F.col("doc_id").alias("slug"), year.alias("year"), F.col("text").alias("title"), "text")
     nation = table(spark, sf_dir, "nation")
     artists = nation.select((1995 + F.col("n_nationkey") % 7).cast("int").alias("year"), F.concat(F.initcap(F.substring("n_name", 1, 2)), F.lit(" ones-haa (2)")).alias("artist"), F.col("n_name").alias("country"))
     return posts, textmatch.artist_index(artists)

@@ -30,3 +30,21 @@ def test_song_effects_agree(spark, tables):
     q = QUERIES["q52_mrqap_song_fe"](spark, tables[0]).first()
     m4 = QUERIES["q50_ols_models_cluster_se"](spark, tables[0]).filter("model = 'M4' AND term = 'same_bloc'").first()
     assert abs(q.observed - m4.coefficient) < 1e-3 and 0 < q.p_value <= 1 and q.n_draws > 0
+
+
+@pytest.fixture
+def small_tables(spark, tmp_path):
+    """A folder for hand-made tables, and a function that writes one of them there."""
+    return str(tmp_path), lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+
+def test_names_in_whole_texts(spark, small_tables):
+    """Names are found wherever they stand in a document."""
+    folder, write = small_tables
+    far = "x " * 2000
+    write("documents", [(1, far + "token"), (2, far + "Zz ones-haa"), (3, "nothing"), (4, None)], "doc_id long, text string")
+    write("nation", [(2, "ZZLAND", 1)], "n_nationkey int, n_name string, n_regionkey int")
+    assert {r.doc_id: r["keys"] for r in QUERIES["q69_gazetteer_match"](spark, folder).collect()} == {1: "token", 2: "", 3: "", 4: ""}
+    found = {r.slug: (r.country, r.source) for r in QUERIES["q70_entity_resolver"](spark, folder).collect()}
+    assert found == {1: ("Token", "title_country"), 2: ("ZZLAND", "title_artist"), 3: (None, "none"), 4: (None, "none")}
+    assert tuple(QUERIES["q70_resolver_counts"](spark, folder).first()) == (4, 4, 2, 0)
