@@ -68,7 +68,7 @@ def tfidf_similarity(entries: DataFrame, least_df: int = 2) -> DataFrame:
     n = docs.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
     tf = docs.select("year", "country", F.explode("tokens").alias("term")).groupBy("year", "country", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("year", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least_df)
-    w = tf.join(df, ["year", "term"]).join(F.broadcast(n), "year")
+    w = tf.join(df, ["year", "term"]).join(n, "year")
     w = w.withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     found = cosine_pairs(w, "country", "term", "w", ("year",))
     a = docs.select("year", F.col("country").alias("a"))

@@ -48,3 +48,18 @@ def test_names_in_whole_texts(spark, small_tables):
     found = {r.slug: (r.country, r.source) for r in QUERIES["q70_entity_resolver"](spark, folder).collect()}
     assert found == {1: ("Token", "title_country"), 2: ("ZZLAND", "title_artist"), 3: (None, "none"), 4: (None, "none")}
     assert tuple(QUERIES["q70_resolver_counts"](spark, folder).first()) == (4, 4, 2, 0)
+
+
+def test_entries_hold_all_documents(spark, small_tables):
+    """Pairs, duplicates and counts over documents beyond the first ballots' years, against brute force."""
+    folder, write = small_tables
+    ids, vectors = [0, 24, 174, 175, 176, 199, 200, 5001, 5002], 4
+    write("documents", [(i, f"same words w{i % 2}", "en") for i in ids], "doc_id long, text string, lang string")
+    write("embeddings", [(v, [float(v % 2), 0.0, 1.0 + v]) for v in range(vectors)], "vec_id long, embedding array<float>")
+    write("nation", [(k, f"N{k:02}", k % 5) for k in range(25)], "n_nationkey int, n_name string, n_regionkey int")
+    pairs = {(1995 + i // 25, *sorted((f"N{i % 25:02}", f"N{j % 25:02}"))) for i in ids for j in ids if i < j and i // 25 == j // 25}
+    for name in ("q43_language_flags", "q44_theme_similarity", "q45_tfidf_similarity"):
+        assert {(r.year, r.a, r.b) for r in QUERIES[name](spark, folder).collect()} == pairs
+    n = {1995 + y: [i % vectors % 2 for i in ids if i // 25 == y] for y in {i // 25 for i in ids}}
+    got = {r.year: (r.n_entries, r.n_unique_vectors) for r in QUERIES["q47_vector_duplication"](spark, folder).collect()}
+    assert got == {y: (len(v), len(set(v))) for y, v in n.items()}
