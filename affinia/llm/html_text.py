@@ -11,7 +11,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,16 @@ BLOCK = {
     "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog"}
+#: Elements whose end tag may be left out: the open ones that a start tag closes, and those within which it does.
+_ROW, _CELL = {"tr", "td", "th"}, {"td", "th"}
+_HOLDS = BLOCK - {"address", "div", "p", "li", "dt", "dd"}
+IMPLIED = {
+    "li": ({"li"}, _HOLDS), "dt": ({"dt", "dd"}, _HOLDS), "dd": ({"dt", "dd"}, _HOLDS), "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": (_CELL, {"tr", "table"}), "th": (_CELL, {"tr", "table"}), "tr": (_ROW, {"table"}), "tbody": ({*_ROW, "thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({*_ROW, "thead", "tbody", "tfoot"}, {"table"}),
+}
+#: Start tags that close an open paragraph, and the elements that one stays open around.
+ENDS_P = BLOCK - {"body", "html", "caption", "legend", "tbody", "td", "tfoot", "th", "thead", "tr"}
+AROUND_P = {"button", "caption", "html", "marquee", "object", "table", "td", "template", "th"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"}
 #: Words in class or id names that mark what is no article.
 ASIDE_NAMES = re.compile(
@@ -83,12 +94,19 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
     return "plain"
 
 
+def _first_after(places: list[int], bound: int) -> int | None:
+    """The first of ascending places beyond bound."""
+    k = bisect_right(places, bound)
+    return places[k] if k < len(places) else None
+
+
 def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
     """Blocks of a page in order: their text, with white space turned to single spaces, and counts of
     features: words by where they stand (main, plain, link, aside) and tags (block, inline, link); ``-in``
     marks those in an element that is named as the main one."""
     out: list[tuple[str, dict[str, int]]] = []
     stack: list[tuple[str, str]] = []
+    opened: dict[str, list[int]] = {}  # places in the stack, by tag
     depth = {"silent": 0, "aside": 0, "main": 0, "a": 0}
     parts: list[str] = []
     counts: dict[str, int] = {}
@@ -103,6 +121,28 @@ def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
     def put(kind: str, n: int = 1) -> None:
         counts[kind] = counts.get(kind, 0) + n
 
+    def last(tags: Iterable[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            tag, kind = stack.pop()
+            opened[tag].pop()
+            if kind in depth:
+                depth[kind] -= 1
+            depth["a"] -= tag == "a"
+
+    def imply(tag: str) -> None:
+        """Close what the start tag leaves no room for: the outermost of these inside what holds them."""
+        if tag in ENDS_P and (at := last(("p",))) > last(AROUND_P):
+            cut(at)
+        if tag in IMPLIED:
+            closed, around = IMPLIED[tag]
+            bound = last(around)
+            inner = [at for t in closed if opened.get(t) for at in (_first_after(opened[t], bound),) if at is not None]
+            if inner:
+                cut(min(inner))
+
     for what, value, attributes in tokens(page):
         if what == "text":
             if not depth["silent"]:
@@ -115,6 +155,8 @@ def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
             flush()
         elif value == "br":
             parts.append(" ")
+        if what == "open":
+            imply(value)
         put(("t-block" if block else "t-link" if value == "a" else "t-inline") + "-in" * (depth["main"] > 0))
         if value in VOID:
             continue
@@ -122,18 +164,13 @@ def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
             if attributes.endswith("/") and value in ("svg", "path"):
                 continue
             kind = _kind(value, attributes, depth["main"] > 0)
+            opened.setdefault(value, []).append(len(stack))
             stack.append((value, kind))
             if kind in depth:
                 depth[kind] += 1
             depth["a"] += value == "a"
-        elif any(tag == value for tag, _ in stack[-64:]):
-            while stack:
-                tag, kind = stack.pop()
-                if kind in depth:
-                    depth[kind] -= 1
-                depth["a"] -= tag == "a"
-                if tag == value:
-                    break
+        elif opened.get(value):
+            cut(opened[value][-1])
     flush()
     return out
 

@@ -412,6 +412,20 @@ def test_page_layouts():
     assert html_text.best_region([1.0, -5.0, 2.0, 3.0, -1.0]) == (2, 4)
 
 
+def test_elements_without_end_tags():
+    """However many elements of a menu are left open, its end closes them, and the article is kept."""
+    words = "A sentence of the story that goes on for a while, and then ends."
+    article = f"<article><p>{words}<p>{words}</article>"
+    for item in ("<li>topic", "<p>note", "<b>x", "<dt>a<dd>b", "<option>y"):
+        for around in ("nav", "aside", "form", 'div class="comments"'):
+            page = f"<body><{around}><div>{item * 300}</div></{around.split()[0]}>{article}"
+            assert html_text.main_text(page) == f"{words}\n{words}"
+    # a new item, cell or row ends the one before, with all that is open in it; one of an inner list does not
+    assert html_text.main_text(f'<ul><li><div class="ad">buy<li>{words}</ul>') == words
+    assert html_text.main_text(f'<table><tr><td class="menu">home<td>{words}<tr><td class="menu">home<tr><td>{words}</table>') == f"{words}\n{words}"
+    assert html_text.main_text(f'<ul><li class="menu"><ul><li>one<li>two</ul>three<li>{words}</ul>') == words
+
+
 def test_empty_pages(spark):
     schema = "page_id long, url string, html string"
     assert html_text.extract(frame(spark, [], schema)).count() == 0
