@@ -49,7 +49,8 @@ ASIDE_NAMES = re.compile(
 CONTENT_NAMES = re.compile(r"(?:^|[\s_\-])(?:article|post|entry|content|story|main|body|text)(?:$|[\s_\-])", re.IGNORECASE)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_ATTR = re.compile(r"([^\s\"'/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_READ = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -81,7 +82,10 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
     """What an element is by itself: silent, aside, main or plain."""
     if tag in SILENT:
         return "silent"
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)} if attributes else {}
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attributes):
+        if (name := m[1].lower()) in _READ:  # the first of a name counts
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return "silent"
     names = f"{found.get('class', '')} {found.get('id', '')}"
@@ -101,8 +105,8 @@ def _first_after(places: list[int], bound: int) -> int | None:
 
 
 def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
-    """Blocks of a page in order: their text, with white space turned to single spaces, and counts of
-    features: words by where they stand (main, plain, link, aside) and tags (block, inline, link); ``-in``
+    """Blocks of a page in order: their text, with white space turned to single spaces and without words of
+    elements of the aside kind, and counts of features: words by where they stand (main, plain, link, aside) and tags (block, inline, link); ``-in``
     marks those in an element that is named as the main one."""
     out: list[tuple[str, dict[str, int]]] = []
     stack: list[tuple[str, str]] = []
@@ -146,7 +150,10 @@ def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
     for what, value, attributes in tokens(page):
         if what == "text":
             if not depth["silent"]:
-                parts.append(value)
+                if not depth["aside"]:
+                    parts.append(value)
+                elif value[0].isspace() or value[-1].isspace():
+                    parts.append(" ")
                 if n := len(value.split()):
                     put(("aside" if depth["aside"] else "link" if depth["a"] else "plain") + "-in" * (depth["main"] > 0), n)
             continue
@@ -245,7 +252,7 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     weights = weights or learned_weights()
     found = blocks(page)
     start, end = best_region([sum(weights[k] * n for k, n in counts.items()) for _, counts in found])
-    return "\n".join(text for text, counts in found[start:end] if text and not (counts.get("aside") or counts.get("aside-in")))
+    return "\n".join(text for text, _ in found[start:end] if text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -426,6 +426,18 @@ def test_elements_without_end_tags():
     assert html_text.main_text(f'<ul><li class="menu"><ul><li>one<li>two</ul>three<li>{words}</ul>') == words
 
 
+def test_asides_within_a_block():
+    """Only the words of an aside element go, and only by its own attributes."""
+    long = "A sentence of the story that goes on for a while"
+    for name in ("tag", "meta", "share", "print", "related"):
+        assert html_text.main_text(f'<article><p>{long} <span class="{name}">x</span> and ends.</p><p>{long}.</p></article>') == f"{long} and ends.\n{long}."
+    for attribute in ('href="/hidden-valley"', 'title="a hidden gem"', "data-hidden=1", 'href="?class=ad&id=menu"', 'data-class="ad"'):
+        assert html_text.main_text(f"<article><p>{long} <a {attribute}>of a link</a> and ends.</p></article>") == f"{long} of a link and ends."
+        assert html_text._kind("a", f" {attribute}", True) == "plain"
+    assert html_text._kind("div", ' id="story" width="menu"', False) == "main" and html_text._kind("p", " title=x hidden", False) == "silent"
+    assert html_text._kind("div", " class = 'ad box' data-x=\"1\"", True) == "aside" and html_text._kind("div", ' aria-hidden="true"', True) == "silent"
+
+
 def test_empty_pages(spark):
     schema = "page_id long, url string, html string"
     assert html_text.extract(frame(spark, [], schema)).count() == 0
