@@ -43,6 +43,8 @@ NAMES = {
         "parts": ["αν", "βα", "γε", "δη", "κα", "λα", "μα", "νι", "πα", "ρο", "σα", "το", "φα", "χα", "ζη", "θε"],
     },
 }
+#: Syllables of a last name: 16^8 names, so that different ones hardly meet in a corpus.
+LAST_SYLLABLES = 8
 _HEX, _LOWER, _UPPER, _DIGITS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 _TITLE_GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
@@ -157,30 +159,33 @@ class Surrogates:
             last = k == len(words) - 1
             kind = "last" if last else f"given-{gender}"
             new = self.made.get((kind, word.casefold()))
-            for turn in range(64):
-                if new is not None:
-                    break
+            turn = 0
+            while new is None:
                 seed = self.draw(kind, str(turn), word.casefold())
                 if last:
-                    syllables = []
-                    for _ in range(4):
-                        seed, r = divmod(seed, len(pool["parts"]))
-                        syllables.append(pool["parts"][r])
-                    tried = "".join(syllables).capitalize()
+                    tried = _syllables(seed, pool["parts"], LAST_SYLLABLES + turn // 8).capitalize()
                 else:
                     names = pool[gender]
                     tried = names[seed % len(names)]
-                    if turn >= len(names):
-                        tried += pool["parts"][seed // 97 % len(pool["parts"])]
+                    if turn >= len(names):  # ever longer, so that a free one is found
+                        tried += _syllables(seed // 97, pool["parts"], 1 + (turn - len(names)) // 8)
                 if (kind, tried.casefold()) not in self.taken and (kind, tried.casefold()) not in self.real:
                     new = tried
-            new = new or word
+                turn += 1
             self.made[kind, word.casefold()] = new
             self.taken.add((kind, new.casefold()))
             out.append(new.upper() if word.isupper() and len(word) > 1 else new.lower() if word.islower() else new)
         return "".join(x for pair in zip(out, [*parts[1::2], ""], strict=True) for x in pair)
 
 
+def _syllables(seed: int, parts: list[str], n: int) -> str:
+    out = []
+    for _ in range(n):
+        seed, r = divmod(seed, len(parts))
+        out.append(parts[r])
+    return "".join(out)
+
+
 def _script(word: str) -> str:
     c = word[0]
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"

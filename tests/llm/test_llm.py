@@ -377,6 +377,19 @@ def test_numbers_stay_distinct(numbers):
     assert len(kinds) == len(numbers) and len(set(re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", new))) == len(numbers)
 
 
+def test_names_stay_distinct():
+    """However many persons a text has, each gets a surrogate of its own and none keeps its name."""
+    letters = {"Dr": "abcdefghijklmnop", "Mr": "abcdefghijklmnop", "Prof": "αβγδεζηθικλμνξοπ"}
+    for title, own in letters.items():
+        given = [f"{x}{y}{z}q".capitalize() for x in own for y in own for z in own[:3]]
+        text = "; ".join(f"{title} {name} Zyx" for name in given)
+        new = re.findall(rf"{title} (\w+) (\w+)", pii.replace(text, b"k" * 32)[0])
+        assert len({g for g, _ in new}) == len(given) and len({n for _, n in new}) == 1
+        assert not {g for g, _ in new} & set(given)
+    last = {pii.replace(f"Mr {a}{b}{c}{d}", b"k")[0] for a in "ABCDEFGHIJ" for b in "abcdefghij" for c in "abcdefghij" for d in "abcdefghij"}
+    assert len(last) == 10_000  # in texts of their own
+
+
 def test_pii_columns(spark, tables):
     docs = frame(spark, [(1, "mail a.b@c.example.org now", "k"), (2, None, None), (3, "", "x")], "doc_id long, text string, pii_kinds string")
     got = pii.replace_pii(docs).orderBy("doc_id").collect()
