@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -49,6 +50,7 @@ _HEX, _LOWER, _UPPER, _DIGITS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
 
 _TITLE_GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
 _NAME = r"[^\W\d_]\w*(?:[-'’][^\W\d_]\w*)*"
+_H, _V4 = r"[0-9A-Fa-f]{1,4}", r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERN = re.compile(
     "|".join(
         f"(?P<{kind}>{pattern})"
@@ -57,8 +59,8 @@ _PATTERN = re.compile(
             "secret": r"(?<=[\"'=:\s])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|eyJ[\w\-]+\.[\w\-]+\.[\w\-]+)(?![\w])",
             "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
             "mac": r"(?<![\w:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:])",
-            "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
-            "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
+            "ipv6": rf"(?<![\w:])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{6}}{_V4}|(?:{_H}(?::{_H}){{0,6}})?::(?:(?:{_H}:){{0,5}}{_V4}|{_H}(?::{_H}){{0,6}})?)(?![\w:]|\.\d)",
+            "ipv4": rf"(?<![\d.]){_V4}(?![\d]|\.\d)",
             "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
             "card": r"(?<![\d\-])\d(?:[ \-]?\d){3}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?(?![\d\-])|(?<![\d.,])\d{13,19}(?![\d])",
             "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w)",
@@ -67,7 +69,7 @@ _PATTERN = re.compile(
     )
 )
 #: What a text must hold for any pattern to match.
-_MAYBE = re.compile(r"\d|@|(?<!\w)(?:" + "|".join(re.escape(t) for ts in TITLES.values() for t in ts) + r")\.?[ \xa0]|eyJ")
+_MAYBE = re.compile(r"\d|@|::|(?<!\w)(?:" + "|".join(re.escape(t) for ts in TITLES.values() for t in ts) + r")\.?[ \xa0]|eyJ")
 
 
 class Surrogates:
@@ -126,6 +128,9 @@ class Surrogates:
             for k in range(6):
                 a, b = b, (a + self.draw(kind, str(turn), str(k), str(b))) % (1 << 16)
             return ".".join(map(str, ((a << 16) | b).to_bytes(4, "big")))
+        if kind == "ipv6" and "." in value:
+            head, _, v4 = value.rpartition(":")
+            return f"{self.like(kind, head, turn)}:{self._fresh('ipv4', v4, turn)}"
         if kind == "email":
             local, _, domain = value.rpartition("@")
             top = domain.rpartition(".")[2]
@@ -150,7 +155,7 @@ class Surrogates:
     def person(self, gender: str, name: str) -> str:
         """Given names by gender and script, the last name from keyed syllables; each part by itself, so a
         later mention by last name only still agrees."""
-        parts = re.split(r"([ \xa0])", name)
+        parts = re.split(r"(\s+)", name)
         words = parts[::2]
         out = []
         for k, word in enumerate(words):
@@ -199,10 +204,59 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _address(raw: str) -> bool:
+    """Whether this is an address rather than a scope in a program: a::b says neither."""
+    try:
+        ipaddress.IPv6Address(raw)
+    except ValueError:
+        return False
+    return raw.count(":") > 2 or any(c.isdigit() for c in raw)
+
+
 def _capital(word: str) -> bool:
     return word[:1].isupper()
 
 
+_WORD = re.compile(_NAME)
+_OWNS = re.compile(r"['’]s\Z", re.IGNORECASE)
+
+
+def mentions(text: str, found: list[tuple[int, int, str, re.Match]]) -> list[tuple[int, int, str, str]]:
+    """(start, end, "person", gender) of the further mentions, outside of all found, of persons found: the
+    last name in any case but with a capital, and the given names of it right before."""
+    genders: dict[str, str] = {}
+    given: dict[str, dict[str, str]] = {}
+    for start, end, kind, m in found:
+        if kind == "person":
+            *first, last = re.split(r"[ \xa0]", text[start:end].casefold())
+            gender = _TITLE_GENDER[m["title"].casefold()]
+            genders.setdefault(last, gender)
+            for word in first:
+                given.setdefault(last, {}).setdefault(word, gender)
+    out: list[tuple[int, int, str, str]] = []
+    if not genders:
+        return out
+    at = 0
+    for start, end in [*((x[0], x[1]) for x in found), (len(text), len(text))]:
+        words: list[tuple[int, int, str]] = []
+        for m in _WORD.finditer(text, at, start):
+            stop = m.end() - 2 * (m[0].casefold() not in genders and bool(_OWNS.search(m[0])))
+            word = text[m.start() : stop].casefold()
+            words.append((m.start(), stop, word))
+            if word not in genders or not _capital(m[0]):
+                continue
+            first, gender = len(words) - 1, genders[word]
+            own = given.get(word, {})
+            while first and words[first - 1][2] in own and _capital(text[words[first - 1][0] :]) and text[words[first - 1][1] : words[first][0]].isspace():
+                first -= 1
+                gender = own[words[first][2]]
+            while out and out[-1][0] >= words[first][0]:
+                out.pop()
+            out.append((words[first][0], stop, "person", gender))
+        at = end
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, re.Match]]:
     """(start, end, kind, match) of each entity, in order."""
     out: list[tuple[int, int, str, re.Match]] = []
@@ -216,6 +270,10 @@ def entities(text: str) -> list[tuple[int, int, str, re.Match]]:
             n = next((k for k, w in enumerate(words) if not _capital(w)), len(words))
             start = m.start("name")
             end = start + len(" ".join(words[:n]))
+            if _OWNS.search(text, start, end):
+                end -= 2
+        elif kind == "ipv6" and not _address(m[0]):
+            end = start
         elif kind == "email":
             end -= len(m[0]) - len(m[0].rstrip(".-"))
         if end > start:
@@ -229,9 +287,19 @@ def _canonical(kind: str, raw: str) -> str:
         return re.sub(r"\D", "", raw)
     if kind == "iban":
         return raw.replace(" ", "")
+    if kind == "ipv6" and "." not in raw:
+        return ipaddress.IPv6Address(raw).compressed
     return raw if kind == "secret" else raw.lower()
 
 
+def _groups_like(raw: str, new: str) -> str:
+    """The IPv6 address new in the form of raw: short, or of eight groups with or without leading zeros."""
+    if "::" in raw or "." in raw:
+        return new
+    groups = ipaddress.IPv6Address(new).exploded.split(":")
+    return ":".join(groups if len(raw) == 39 else [g.lstrip("0") or "0" for g in groups])
+
+
 def _written_like(raw: str, new: str, kept: str) -> str:
     """The characters of new at the places of raw's letters and digits, in raw's case."""
     out, at = [], iter(new)
@@ -253,11 +321,13 @@ def replace(text: str, key: bytes) -> tuple[str, list[str]]:
             made.real |= {("last" if k == len(words) - 1 else f"given-{gender}", w.casefold()) for k, w in enumerate(words)}
         else:
             made.real.add((kind, _canonical(kind, text[start:end])))
+    named = [(start, end, kind, _TITLE_GENDER[m["title"].casefold()] if kind == "person" else "") for start, end, kind, m in found]
+    found = sorted(named + mentions(text, found))
     out, at = [], 0
-    for start, end, kind, m in found:
+    for start, end, kind, gender in found:
         raw = text[start:end]
         if kind == "person":
-            new = made.person(_TITLE_GENDER[m["title"].casefold()], raw)
+            new = made.person(gender, raw)
         else:
             canonical = _canonical(kind, raw)
             if kind == "phone" and raw[0] == "+":
@@ -267,7 +337,9 @@ def replace(text: str, key: bytes) -> tuple[str, list[str]]:
                 new = made.of(kind, canonical)
             if kind in ("card", "phone", "ssn", "iban"):
                 new = _written_like(raw, new, " .-()+")
-            elif kind != "secret" and raw.upper() == raw and raw.lower() != raw:
+            elif kind == "ipv6":
+                new = _groups_like(raw, new)
+            if kind not in ("card", "phone", "ssn", "iban", "secret") and raw.upper() == raw and raw.lower() != raw:
                 new = new.upper()
         out += [text[at:start], new]
         at = end
@@ -285,7 +357,9 @@ def replace_pii(docs: DataFrame, key: str = "affinia", id_col: str = "doc_id", t
     and ``pii_kinds`` (array of the kinds of the entities, in order; a column of that name gives way).
 
     Detected: e-mail addresses, secrets and long hex tokens, IBANs, MAC, IPv6 and IPv4 addresses, social
-    security numbers, card and account numbers of 13 to 19 digits, phone numbers, and names after a title.
+    security numbers, card and account numbers of 13 to 19 digits, phone numbers, names after a title, and
+    wherever else such a person's last name stands in the text, with the person's given names before it or
+    not. Given names alone, and persons without a title anywhere in the text, stay.
     Surrogates keep type, length, punctuation, letter case and script; names keep gender by their title;
     Luhn-valid numbers stay valid. Equal entities (after case and punctuation are set aside) get equal
     surrogates in all documents; within a text, a surrogate that another entity has or that is a real

@@ -390,6 +390,26 @@ def test_names_stay_distinct():
     assert len(last) == 10_000  # in texts of their own
 
 
+def test_later_mentions():
+    """A person with a title once is replaced everywhere, by the same names."""
+    text = "Anna Smith came. Dr. Anna Smith and Mr Bob Jones spoke; Smith said, SMITH'S view, Anna\nSmith, smith work, Bob Jones's, Jones’s, Smithson, Mr Smith's"
+    new, kinds = pii.replace(text, b"k" * 32)
+    anna, smith, bob, jones = re.search(r"Dr\. (\w+) (\w+) and Mr (\w+) (\w+) spoke", new).groups()
+    assert new == f"{anna} {smith} came. Dr. {anna} {smith} and Mr {bob} {jones} spoke; {smith} said, {smith.upper()}'S view, {anna}\n{smith}, smith work, {bob} {jones}'s, {jones}’s, Smithson, Mr {smith}'s"
+    assert kinds == ["person"] * 9 and not {"Anna", "Smith", "Bob", "Jones"} & {anna, smith, bob, jones}
+
+
+def test_short_ipv6():
+    text = "at 2001:db8::1, 2001:0db8:0000:0000:0000:0000:0000:0001, 2001:DB8:0:0:0:0:0:1; ::ffff:192.0.2.1 fe80::1%eth0 ::1/128 but std::vector a::b 12:30 ::"
+    new, kinds = pii.replace(text, b"k" * 32)
+    assert kinds == ["ipv6"] * 6 and new.endswith("but std::vector a::b 12:30 ::")
+    short, wide, eight, mapped = re.match(r"at (\S+), (\S+), (\S+); (\S+) ", new).groups()
+    import ipaddress
+
+    assert len({ipaddress.IPv6Address(x) for x in (short, wide, eight)}) == 1 and len(wide) == 39 and "::" in short and "::" not in eight
+    assert ipaddress.IPv6Address(mapped) and not any(x in new for x in ("2001:", "192.0.2.1", "fe80::1%"))
+
+
 def test_pii_columns(spark, tables):
     docs = frame(spark, [(1, "mail a.b@c.example.org now", "k"), (2, None, None), (3, "", "x")], "doc_id long, text string, pii_kinds string")
     got = pii.replace_pii(docs).orderBy("doc_id").collect()
