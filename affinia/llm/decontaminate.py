@@ -40,12 +40,13 @@ def items_of(items: DataFrame, width: int, whole_windows: bool = False) -> DataF
     return own.select("item_id", "words", F.least(F.lit(width), F.size("words")).alias("width"))
 
 
-def build_index(docs: DataFrame, items: DataFrame, lists: int) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, items: DataFrame, lists: int, absent: bool = False) -> tuple[DataFrame, DataFrame]:
     """The stored postings (term, doc_id, pos), and the places (item_id, words, width, item_pos, term, need)
     of the terms to search an item from.
 
     Terms are ranked by their count in all documents; each window is searched from its ``lists`` rarest
-    ones. Windows with a term that no document holds are left out, since they occur nowhere.
+    ones. Windows with a term that no document holds are left out, since they occur nowhere; with ``absent``
+    they are searched from the rarest terms that there are, for proximity matches.
     """
     at = items.select("item_id", "words", "width", F.posexplode("words").alias("item_pos", "term"))
     terms = written(at.select("term").distinct(), "terms")
@@ -60,7 +61,7 @@ def build_index(docs: DataFrame, items: DataFrame, lists: int) -> tuple[DataFram
         "rank": F.row_number().over(by_window.orderBy("n", "term", "item_pos")),
         "present": F.count(F.lit(1)).over(by_window),
     })
-    places = in_windows.filter((F.col("present") == F.col("width")) & (F.col("rank") <= lists))
+    places = in_windows.filter((F.lit(absent) | (F.col("present") == F.col("width"))) & (F.col("rank") <= lists))
     places = places.select("item_id", "words", "width", "item_pos", "term", F.least("width", F.lit(lists)).alias("need")).distinct()
     places = written(places, "places")
     needed = places.select("term").distinct()
@@ -94,6 +95,19 @@ def proximity_matches(index: DataFrame, places: DataFrame, n_places: int, slack:
     return met.filter(F.col("n_terms") >= least).groupBy("doc_id", "item_id", "first_pos").agg(F.max("n_terms").alias("n_terms"))
 
 
+def near_matches(docs: DataFrame, items: DataFrame, width: int = 8, lists: int = 4, slack: int = 4, least: int = 3) -> DataFrame:
+    """proximity_matches of whole tables: what of the items stands in the documents with words changed,
+    inserted or left out, such as one in each window.
+
+    docs: doc_id, text; items: item_id, text. Each window is searched from its ``lists`` rarest terms that
+    any document holds. Places with exact windows are found too.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    index, places = build_index(docs, written(items_of(items, width), "items"), lists, absent=True)
+    return proximity_matches(index, places, places.count(), slack, least)
+
+
 def _exact(words: Column, c: Column) -> Column:
     """Starts in words of the item windows that occur on a candidate's diagonal."""
     places = F.sequence(F.lit(0), F.size(c["words"]) - c["width"])

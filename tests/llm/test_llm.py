@@ -221,6 +221,15 @@ def test_proximity(spark):
     assert got[1] == 4 and 2 not in got and got[3] == 8
 
 
+def test_near_matches(spark):
+    """An item whose word in each window is changed, also to one that no document holds, is found."""
+    words = [f"w{k}" for k in range(15)]
+    items = frame(spark, [("i", " ".join([*words[:7], "unheard", *words[8:]]))], "item_id string, text string")
+    docs = frame(spark, [(1, " ".join(words)), (2, " ".join([*words[:4], "more", *words[4:7], "yet", *words[8:]])), (3, "w3 other words w9"), (4, None)])
+    got = {r.doc_id for r in decontaminate.near_matches(docs, items).collect()}
+    assert got == {1, 2} and decontaminate.match_benchmark(docs, items).filter("n_hit > 0").count() == 0
+
+
 # ---- 6, 7 tokens
 
 
