@@ -31,9 +31,10 @@ def shingles(text: bytes, width: int, memo: Memo) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     own = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    seed = len(words) if len(words) < width else 0  # fewer words are no shingle that longer texts have
     width = min(width, len(words))
     n = len(words) - width + 1
-    out = np.full(n, len(words) if n == 1 else 0, np.uint64)
+    out = np.full(n, seed, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
             out = (out ^ own[k : k + n]) * _MIX

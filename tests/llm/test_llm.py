@@ -157,6 +157,14 @@ def test_near_duplicates(spark, seed, width):
     assert {i: x[:2] for i, x in got.items()} == want and all(x[2] == (i == x[1]) for i, x in got.items())
 
 
+def test_near_duplicates_of_one_shingle(spark):
+    """A text of exactly the shingle's words has an ordinary set; one of fewer words hasn't."""
+    for width in (2, 5):
+        docs = [(k, " ".join(["ha"] * n)) for k, n in enumerate([width, width + 1, width + 7, width - 1, width - 1])]
+        got = {r[0]: (r[1], r[2]) for r in near_dups.near_duplicates(frame(spark, docs), width).collect()}
+        assert got == exact_components(docs, width, 80) and [got[k][1] for k in range(5)] == [0, 0, 0, 3, 3]
+
+
 def test_near_duplicate_stage(spark):
     docs = frame(spark, [(1, "a b c d e f", 5), (2, "a b c d e f", 6), (3, "z", 7), (3, "z", 7), (None, "q", 8)], "doc_id long, text string, digest int")
     assert sorted((r[0] or 0, r[2]) for r in near_dups.drop_near_duplicates(docs).collect()) == [(0, 8), (1, 5), (3, 7)]
