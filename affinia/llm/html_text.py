@@ -4,6 +4,9 @@ A page becomes a sequence of words and tags. Words score positive, tags negative
 on where it stands, and the weights are log odds learned from labelled pages. One linear scan finds the
 contiguous region with the highest sum, whose blocks are the main text, less what stands in it in menus,
 adverts, notices, forms, scripts or comments.
+
+Elements that only their class or id marks as no article are marked with reserve: what holds the page's
+content, or without which nothing is left, is a wrapper whatever its name says.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog"}
+ASIDE, MAIN = {"nav", "footer", "aside", "menu", "dialog"}, {"main", "article"}
 #: Elements whose end tag may be left out: the open ones that a start tag closes, and those within which it does.
 _ROW, _CELL = {"tr", "td", "th"}, {"td", "th"}
 _HOLDS = BLOCK - {"address", "div", "p", "li", "dt", "dd"}
@@ -40,46 +43,90 @@ IMPLIED = {
 ENDS_P = BLOCK - {"body", "html", "caption", "legend", "tbody", "td", "tfoot", "th", "thead", "tr"}
 AROUND_P = {"button", "caption", "html", "marquee", "object", "table", "td", "template", "th"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"}
-#: Words in class or id names that mark what is no article.
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|signup|login|sidebar\w*|side|widgets?|menus?|nav\w*|"
-    r"breadcrumbs?|pagination|pager|toolbar|footer|foot|masthead|topbar|header|comments?|commentlist|replies|reply|respond|disqus|share|sharing|social\w*|related|recommend\w*|teasers?|tags?|taglist|metas?|byline|toc|skip\w*|print|hidden)(?:$|[\s_\-])",
-    re.IGNORECASE,
+#: Words in class or id names that mark what is no article: comments of readers, other content, and places
+#: in a layout, whose names wrappers of whole pages bear as well.
+READER_NAMES = re.compile(r"comments?|commentlist|replies|reply|respond|disqus")
+OTHER_NAMES = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|signup|login|"
+    r"breadcrumbs?|pagination|pager|share|sharing|social\w*|related|recommend\w*|teasers?|tags?|taglist|metas?|byline|toc|skip\w*"
 )
-CONTENT_NAMES = re.compile(r"(?:^|[\s_\-])(?:article|post|entry|content|story|main|body|text)(?:$|[\s_\-])", re.IGNORECASE)
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+LAYOUT_NAMES = re.compile(r"banner\w*|sidebar\w*|side|widgets?|menus?|nav\w*|toolbar|footer|foot|masthead|topbar|header|print|hidden")
+CONTENT_NAMES = re.compile(r"article|post|entry|content|story|main|body|text")
+#: Beside a word of content, these still mark an aside.
+STRONG_NAMES = re.compile(r".*(?:comment|sidebar|nav|foot|related|share).*|ads?")
+#: First and last words of names that tell of a state or a neighbour, not of the element itself.
+STATE_FIRST = {"has", "is", "no", "not", "with", "without", "show", "hide", "js", "can", "in"}
+STATE_LAST = {"open", "opened", "closed", "active", "inactive", "enabled", "disabled", "visible", "on", "off", "wrapper", "layout"}
+RESERVED = {"reader", "aside", "layout"}
+#: Plain words a page needs outside of an element for the element's mark to stand without question.
+ENOUGH_WORDS = 12
+
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|/?[A-Za-z])")
+_COMMENT_END, _CDATA_END = re.compile(r"--!?>"), re.compile(r"\]\]>")
+# Quotes only count behind an equals sign; nothing is tried twice, so that broken tags cost no more than others.
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII) for tag in RAW}
 _ATTR = re.compile(r"([^\s\"'/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _READ = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in page order."""
-    at, n = 0, len(page)
-    low = None
+    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in page order, in linear time."""
+    at, n, tag_of = 0, len(page), _TAG
+    end = page.rfind(">")
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            yield "text", page[at:], ""
+        m = _OPEN.search(page, at)
+        if m is None or m.start() > end:  # no tag ends behind here
+            comment = m is not None and (m[1] or m[2])
+            text = page[at : m.start()] if comment else page[at:]  # what follows is a comment without an end
+            if text:
+                yield "text", text, ""
             return
         if m.start() > at:
             yield "text", page[at : m.start()], ""
-        at = m.end()
-        if m[2] is None:
+        if m[1] or m[2]:
+            ends = (_COMMENT_END if m[1] else _CDATA_END).search(page, m.end())
+            at = ends.end() if ends else n
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if m[3]:
+            at = page.index(">", m.start()) + 1
+            continue
+        t = tag_of.match(page, m.start())
+        if t is None:  # a quote hides the end of this tag: from here on, tags end at the next mark
+            tag_of = _PLAIN_TAG
+            t = tag_of.match(page, m.start())
+        at = t.end()
+        tag = t[2].lower()
+        if t[1]:
             yield "close", tag, ""
             continue
-        yield "open", tag, m[3]
-        if tag in RAW and not m[3].endswith("/"):
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{tag}", at)
-            at = n if end < 0 else end
+        yield "open", tag, t[3]
+        if tag in RAW and not t[3].endswith("/"):
+            ends = _RAW_END[tag].search(page, at)
+            at = ends.start() if ends else n
+
+
+@lru_cache(4096)
+def _named(names: str) -> str:
+    """What the names of class and id make of an element: reader, aside, layout, main or plain."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in re.findall(r"[A-Z]?[^\W\dA-Z_]+|[A-Z]+(?![a-z])|\d+", name)]
+        if len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST):
+            continue
+        for w in words:
+            for kind, pattern in (("reader", READER_NAMES), ("aside", OTHER_NAMES), ("layout", LAYOUT_NAMES), ("main", CONTENT_NAMES), ("strong", STRONG_NAMES)):
+                if pattern.fullmatch(w):
+                    found.add(kind)
+    if "main" in found and "strong" not in found:
+        return "main"
+    return next((k for k in ("reader", "aside", "layout", "main") if k in found), "plain")
 
 
 def _kind(tag: str, attributes: str, inside: bool) -> str:
-    """What an element is by itself: silent, aside, main or plain."""
+    """What an element is by itself: silent, frame (never content), main or plain; or, marked with reserve,
+    reader, aside or layout."""
     if tag in SILENT:
         return "silent"
     found: dict[str, str] = {}
@@ -88,14 +135,56 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
             found.setdefault(name, m[2] or m[3] or m[4] or "")
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return "silent"
+    role = found.get("role", "").lower()
+    if tag in ASIDE or tag == "header" and not inside or role in ASIDE_ROLES:
+        return "frame"
+    if tag == "form":
+        return "layout"
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    if tag in ASIDE or tag == "header" and not inside or found.get("role", "").lower() in ASIDE_ROLES:
-        return "aside"
-    if tag not in ("html", "body", "main", "article") and names.strip() and ASIDE_NAMES.search(names):
-        return "aside" if not (CONTENT_NAMES.search(names) and not re.search(r"comment|sidebar|nav|foot|related|share|\bads?\b", names, re.IGNORECASE)) else "main"
-    if tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or names.strip() and CONTENT_NAMES.search(names):
-        return "main"
-    return "plain"
+    kind = "plain" if names.isspace() else _named(names)
+    if tag in ("html", "body", "main") and kind != "main":
+        kind = "plain"
+    return "main" if kind == "plain" and (tag in MAIN or role in ("main", "article")) else kind
+
+
+class _Marks:
+    """Elements marked with reserve, by number: the mark around them, their plain words outside of marks
+    within, and whether they hold a heading of the page or an element of content outside of marks within."""
+
+    def __init__(self):
+        self.kind, self.around, self.words, self.holds = ["plain"], [0], [0], [False]
+
+    def add(self, kind: str, around: int) -> int:
+        self.kind.append(kind)
+        self.around.append(around)
+        self.words.append(0)
+        self.holds.append(False)
+        return len(self.kind) - 1
+
+    def standing(self) -> list[bool]:
+        """Whether a mark stands, by number, or one around it does. The outermost are judged first. A mark is
+        void if its element holds content and half of the page's plain words at least, those of readers set
+        apart; or, for names of a layout, if the rest of the page has hardly any words."""
+        n = len(self.kind)
+        inner, holds = list(self.words), list(self.holds)
+        for k in range(n - 1, 0, -1):  # what lies within other marks of a layout counts for the one around
+            if self.kind[k] == "layout":
+                inner[self.around[k]] += inner[k]
+                holds[self.around[k]] |= holds[k]
+        total = inner[0] + sum(inner[k] for k in range(1, n) if self.kind[k] == "aside")
+        void = [True] + [False] * (n - 1)
+        out = [False] * n
+        for k in range(1, n):
+            up = self.around[k]
+            if not void[up]:
+                out[k] = True
+                continue
+            if self.kind[k] == "reader":
+                void[k] = holds[k] and total < ENOUGH_WORDS
+            else:
+                void[k] = holds[k] and 2 * inner[k] >= total or self.kind[k] == "layout" and inner[k] >= 2 * ENOUGH_WORDS and total - inner[k] < ENOUGH_WORDS
+            out[k] = not void[k]
+        return out
 
 
 def _first_after(places: list[int], bound: int) -> int | None:
@@ -108,38 +197,45 @@ def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
     """Blocks of a page in order: their text, with white space turned to single spaces and without words of
     elements of the aside kind, and counts of features: words by where they stand (main, plain, link, aside) and tags (block, inline, link); ``-in``
     marks those in an element that is named as the main one."""
-    out: list[tuple[str, dict[str, int]]] = []
-    stack: list[tuple[str, str]] = []
+    raw: list[tuple[list[tuple[str, int]], dict[tuple[str, int], int]]] = []
+    stack: list[tuple[str, str, bool]] = []
     opened: dict[str, list[int]] = {}  # places in the stack, by tag
-    depth = {"silent": 0, "aside": 0, "main": 0, "a": 0}
-    parts: list[str] = []
-    counts: dict[str, int] = {}
+    depth = {"silent": 0, "frame": 0}
+    mains = links = 0
+    marks, mark = _Marks(), 0
+    parts: list[tuple[str, int]] = []
+    counts: dict[tuple[str, int], int] = {}
 
     def flush() -> None:
         nonlocal parts, counts
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text or counts:
-            out.append((text, counts))
+        if parts or counts:
+            raw.append((parts, counts))
         parts, counts = [], {}
 
-    def put(kind: str, n: int = 1) -> None:
-        counts[kind] = counts.get(kind, 0) + n
+    def put(kind: str, at: int = 0, n: int = 1) -> None:
+        counts[kind, at] = counts.get((kind, at), 0) + n
 
     def last(tags: Iterable[str]) -> int:
         return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
 
     def cut(size: int) -> None:
+        nonlocal mark, mains, links
         while len(stack) > size:
-            tag, kind = stack.pop()
+            tag, kind, main = stack.pop()
             opened[tag].pop()
             if kind in depth:
                 depth[kind] -= 1
-            depth["a"] -= tag == "a"
+            elif kind in RESERVED:
+                mark = marks.around[mark]
+            mains -= main
+            links -= tag == "a"
 
     def imply(tag: str) -> None:
         """Close what the start tag leaves no room for: the outermost of these inside what holds them."""
-        if tag in ENDS_P and (at := last(("p",))) > last(AROUND_P):
-            cut(at)
+        if opened.get("p") and tag in ENDS_P:
+            at = opened["p"][-1]
+            if at == len(stack) - 1 or at > last(AROUND_P):
+                cut(at)
         if tag in IMPLIED:
             closed, around = IMPLIED[tag]
             bound = last(around)
@@ -150,35 +246,54 @@ def blocks(page: str) -> list[tuple[str, dict[str, int]]]:
     for what, value, attributes in tokens(page):
         if what == "text":
             if not depth["silent"]:
-                if not depth["aside"]:
-                    parts.append(value)
+                if not depth["frame"]:
+                    parts.append((value, mark))
                 elif value[0].isspace() or value[-1].isspace():
-                    parts.append(" ")
+                    parts.append((" ", mark))
                 if n := len(value.split()):
-                    put(("aside" if depth["aside"] else "link" if depth["a"] else "plain") + "-in" * (depth["main"] > 0), n)
+                    if not depth["frame"] and not links:
+                        marks.words[mark] += n
+                    put(("aside" if depth["frame"] else "link" if links else "plain") + "-in" * (mains > 0), mark, n)
             continue
         block = value in BLOCK
         if block:
             flush()
         elif value == "br":
-            parts.append(" ")
+            parts.append((" ", 0))
         if what == "open":
             imply(value)
-        put(("t-block" if block else "t-link" if value == "a" else "t-inline") + "-in" * (depth["main"] > 0))
+        put(("t-block" if block else "t-link" if value == "a" else "t-inline") + "-in" * (mains > 0))
         if value in VOID:
             continue
         if what == "open":
             if attributes.endswith("/") and value in ("svg", "path"):
                 continue
-            kind = _kind(value, attributes, depth["main"] > 0)
+            kind = _kind(value, attributes, mains > 0)
+            main = kind == "main" or value in MAIN
             opened.setdefault(value, []).append(len(stack))
-            stack.append((value, kind))
+            stack.append((value, kind, main))
             if kind in depth:
                 depth[kind] += 1
-            depth["a"] += value == "a"
+            elif kind in RESERVED:
+                mark = marks.add(kind, mark)
+            if (main or value == "h1") and not depth["silent"] and not depth["frame"]:
+                marks.holds[mark] = True
+            mains += main
+            links += value == "a"
         elif opened.get(value):
             cut(opened[value][-1])
     flush()
+    stands, out = marks.standing(), []
+    for parts, counts in raw:
+        words = "".join(" " * (x[0].isspace() or x[-1].isspace()) if stands[at] else x for x, at in parts)
+        text = " ".join(html.unescape(words).split())
+        found: dict[str, int] = {}
+        for (kind, at), n in counts.items():
+            if stands[at] and not kind.startswith("t-"):
+                kind = "aside-in" if kind.endswith("-in") else "aside"
+            found[kind] = found.get(kind, 0) + n
+        if text or found:
+            out.append((text, found))
     return out
 
 
@@ -208,17 +323,17 @@ def _labelled() -> list[tuple[str, set[str]]]:
     return pages
 
 
-@cache
-def learned_weights() -> dict[str, float]:
-    """Log odds of each feature between the first and the last main block against elsewhere, with one added
-    to each count; words of text are kept above zero and tags below, as the method asks."""
+def learn(labelled: Iterable[tuple[str, set[str]]]) -> dict[str, float]:
+    """Weights from labelled pages: their source and the texts of their main blocks. A weight is the log odds of a feature
+    between the first and the last main block against elsewhere, with one added to each count; words of text
+    are kept above zero and tags below, as the method asks. Pages without a main block are all elsewhere."""
     inside: dict[str, int] = {}
     outside: dict[str, int] = {}
-    for page, main in _labelled():
+    for page, main in labelled:
         found = blocks(page)
         places = [k for k, (text, _) in enumerate(found) if text in main]
         for at, (_, counts) in enumerate(found):
-            into = inside if places[0] <= at <= places[-1] else outside
+            into = inside if places and places[0] <= at <= places[-1] else outside
             for k, n in counts.items():
                 into[k] = into.get(k, 0) + n
     kinds = [k + i for k in ("plain", "link", "aside", "t-block", "t-inline", "t-link") for i in ("", "-in")]
@@ -232,6 +347,21 @@ def learned_weights() -> dict[str, float]:
     return odds
 
 
+@cache
+def learned_weights() -> dict[str, float]:
+    """Weights of the small labelled pages that come with this module."""
+    return learn(_labelled())
+
+
+def weights_of(labelled: DataFrame, sample: int = 2000) -> dict[str, float]:
+    """Weights from a table of labelled pages (html, text: the main blocks, one a line), of which at most
+    ``sample``, those of the smallest hashes, are taken. Rows with a null are left out; without rows the
+    weights are those of ``learned_weights``."""
+    rows = labelled.select(F.col("html").cast("string").alias("html"), F.col("text").cast("string").alias("text")).dropna().distinct()
+    rows = rows.orderBy(F.xxhash64("html"), "html", "text").limit(sample).collect()
+    return learn((r[0], set(r[1].split("\n"))) for r in rows) if rows else learned_weights()
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """Start and end of the contiguous run with the highest sum; the longest of equal ones; empty if none
     is above zero."""
@@ -255,20 +385,23 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     return "\n".join(text for text, _ in found[start:end] if text)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of each page.
 
-    pages: page_id, url, html. text holds the blocks of the main region in page order, one a line, with
+    pages: page_id, url, html; labelled: see ``weights_of``. text holds the blocks of the main region in page order, one a line, with
     character references decoded and white space inside a block as single spaces; n_chars counts its code
     points. Null and empty pages, and those without words outside menus and the like, have an empty text.
-    Repeated rows are extracted each; an empty table gives no rows; other columns are ignored.
+    Broken pages are read as browsers do: end tags may be missing at any depth, quotes only count behind an
+    equals sign, what no mark ends is text; the time is linear in the length of a page. Repeated rows are
+    extracted each; an empty table gives no rows; other columns are ignored.
     """
+    weights = learned_weights() if labelled is None else weights_of(labelled)
 
     def rows(it) -> Iterator:
         import pyarrow as pa
 
         for batch in it:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
+            texts = [main_text(x.as_py(), weights) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

@@ -488,6 +488,82 @@ def test_asides_within_a_block():
     assert html_text._kind("div", " class = 'ad box' data-x=\"1\"", True) == "aside" and html_text._kind("div", ' aria-hidden="true"', True) == "silent"
 
 
+WORDS = "A sentence of the story that goes on for a while, and then ends."
+SIDE = '<div class="sidebar"><h3>Popular</h3><ul><li><a href=x>thing one</a></li></ul><p>some blurb of the sidebar with several words</p></div>'
+READERS = '<section id="comments"><h3>Comments</h3><article class="comment"><p>I liked this a lot, really.</p></article><p>so did I and all of my friends</p></section>'
+
+
+@pytest.mark.parametrize("names", ["layout has-sidebar", "page nav-open", "no-js hidden-sidebar-right", "wrap has-banner", "print", "two-col side", "comments-open", "sidebar-left", "site-header-wrap"])
+def test_wrappers_named_like_asides(names):
+    """No class or id of what holds the article makes it go; asides within go."""
+    body = "".join(f"<p>{WORDS}</p>" for _ in range(4))
+    text = "\n".join([WORDS] * 4)
+    for inner, main in ((body, text), (f"<article>{body}</article>", text), (f"<h1>A title</h1>{body}", f"A title\n{text}"), (f"<main><h1>A title</h1>{body}</main>", f"A title\n{text}")):
+        for tail in ("", SIDE, READERS, SIDE + READERS):
+            for tag, attribute in (("div", "class"), ("section", "id"), ("form", "class")):
+                page = f'<html><body><nav><ul><li><a href="/a">one</a></ul></nav><{tag} {attribute}="{names}"><div>{inner}</div>{tail}</{tag}><footer>&copy; site</footer></body></html>'
+                assert html_text.main_text(page) == main
+
+
+def test_asides_of_no_wrapper():
+    """What is named an aside goes where it holds no page: by its family also with articles in it."""
+    body = f"<article><h1>A title</h1><p>{WORDS}</p></article>"
+    for other in (SIDE, READERS, '<div class="related"><article><h3>More</h3><p>A teaser of another page.</p></article></div>', f'<form><label>Mail</label><p>{WORDS}</p></form>', f'<div class="newsletter"><p>{WORDS}</p></div>'):
+        for page in (body + other, other + body, f"<main>{body}{other}</main>"):
+            assert html_text.main_text(page) == f"A title\n{WORDS}"
+    for page in (READERS, '<div class="ad"><p>Buy this, it is good and cheap and everybody has it by now, so should you, do not wait any longer.</p></div>'):
+        assert html_text.main_text(page) == ""
+
+
+def test_offsets_survive_other_cases():
+    """Letters whose lower case is longer stand before scripts."""
+    assert html_text.main_text(f"<p>{'İ' * 60} a</p><SCRIPT>if (a < b) '</p>'</ScRiPt ><p>{WORDS}</p>") == f"{'İ' * 60} a\n{WORDS}"
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<a x='", '<a x="', "<!", "<!--", "<a b='>' ", "<", "<script>", "<p", "<b>", "</p>", "<a =", "<![CDATA[", "&#", "<div class='ad'>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        page = piece * (n // len(piece))
+        began = time.process_time()
+        html_text.main_text(page)
+        html_text.main_text(page + f"<article><p>{WORDS}</article>")
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5  # eight times the length
+
+
+def test_weights_from_labelled_pages(spark):
+    """Learned from a table of pages, tested on pages of other layouts."""
+    rng = random.Random(4)
+    sentence = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(6, 20))) + "."
+    pages = []
+    for k in range(120):
+        main = [f"Title {k}", *(sentence() for _ in range(rng.randrange(2, 9)))]
+        links = "".join(f'<li><a href="/{j}">topic {j}</a></li>' for j in range(rng.randrange(3, 15)))
+        body = f"<h1>{main[0]}</h1>" + "".join(f"<p>{x}</p>" for x in main[1:])
+        around = [f"<div>{{}}</div><ul>{links}</ul>", f"<ul>{links}</ul><div>{{}}</div>", f"<table><tr><td><ul>{links}</ul></td><td>{{}}</td></tr></table>"][k % 3]
+        pages.append((k, around.format(body), "\n".join(main)))
+    train = frame(spark, [p[1:] for p in pages if p[0] % 3 < 2] + [(None, "x"), ("<p>y", None)], "html string, text string")
+    weights = html_text.weights_of(train)
+    assert weights["plain"] > 0 > weights["t-link"] and weights != html_text.learned_weights()
+    got = [html_text.main_text(page, weights) == main for k, page, main in pages if k % 3 == 2]
+    assert np.mean(got) == 1
+    rows = html_text.extract(frame(spark, [(k, None, p) for k, p, _ in pages], "page_id long, url string, html string"), train).collect()
+    assert all(r.text == pages[r.page_id][2] for r in rows)
+    assert html_text.weights_of(train.limit(0)) == html_text.learned_weights()
+
+
+def test_page_rows(spark):
+    """Repeated rows, nulls and further columns of clashing names."""
+    schema = "page_id long, url string, html string, text int, n_chars string"
+    page = f"<article><p>{WORDS}</article>"
+    got = html_text.extract(frame(spark, [(1, "u", page, 1, "x"), (1, "u", page, 1, "x"), (None, None, page, None, None)], schema)).collect()
+    assert sorted(tuple(r) for r in got if r[0]) == [(1, "u", WORDS, len(WORDS))] * 2 and len(got) == 3
+    assert html_text.main_text("<p>" + "word " * 1_000_000) == ("word " * 1_000_000).strip()
+
+
 def test_empty_pages(spark):
     schema = "page_id long, url string, html string"
     assert html_text.extract(frame(spark, [], schema)).count() == 0
