@@ -108,6 +108,53 @@ def test_chat(spark):
     assert chat.format_chats(frame(spark, [], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def exact_chats(turns):
+    """{conv_id: (n_turns, n_copies, text)} of what is no prefix of another conversation."""
+    low = lambda x: (x is not None, x or "")
+    convs = collections.defaultdict(set)
+    for c, *turn in turns:
+        convs[c].add(tuple(turn))
+    convs = {c: tuple((r, x) for _, r, x in sorted(own, key=lambda t: (t[0] is not None, t[0] or 0, low(t[1]), low(t[2])))) for c, own in convs.items()}
+    inner = {own[:k] for own in convs.values() for k in range(len(own))}
+    out = {}
+    for own in set(convs.values()) - inner:
+        ids = [c for c, x in convs.items() if x == own]
+        out[min((c for c in ids if c is not None), default=None)] = (len(own), len(ids), "".join(f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n" for r, x in own))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chat_with_nulls(spark, seed):
+    """Null cells, equal and null turn numbers and repeated rows against brute force; further columns don't matter."""
+    rng = random.Random(seed)
+    cell = lambda: rng.choice([None, "", "user", "a"])
+    turns = [(c, rng.choice([None, 0, 1, 2, 2, 3]), cell(), cell()) for c in [*range(60), None] for _ in range(rng.randrange(1, 5))]
+    turns += [(100, 0, "user", None), (101, 0, None, "user"), (102, 0, "user", ""), (103, 0, "", "user")] + turns[:20]
+    rng.shuffle(turns)
+    got = chat.format_chats(frame(spark, [(*t, 7, "x") for t in turns], TURNS + ", part int, h1 string")).collect()
+    assert {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in got} == exact_chats(turns) and len(got) == len(exact_chats(turns))
+
+
+def test_chat_over_partitions(spark):
+    """A few conversations that run through many partitions, one of equal and null turn numbers, and their snapshots."""
+    long = [(None, k % 3, "user", f"t{k:04}") for k in range(900)] + [(5, None, "user", f"n{k}") for k in range(300)]
+    long += [(7, t, "user", f"t{t}") for t in range(2000)] + [(8, t, "user", f"t{t}") for t in range(1500)] + [(9, t, "user", f"t{t}") for t in range(2000)]
+    long += [(6, 0, "user", "again")] * 5000
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        got = chat.format_chats(frame(spark, long, TURNS), None).collect()
+        assert {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in got} == exact_chats(long) and len(got) == 4
+        parts = chat.format_chats(frame(spark, long, TURNS), 128).filter("conv_id = 7").orderBy("part").collect()
+        assert "".join(r.text for r in parts) == exact_chats(long)[7][2] and [r.part for r in parts] == list(range(16))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert chat.format_chats(frame(spark, [(1, 1, "user", "x" * 3_000_000)], TURNS)).first().text == f"<|im_start|>user\n{'x' * 3_000_000}<|im_end|>\n"
+
+
 # ---- 4 near duplicates
 
 
