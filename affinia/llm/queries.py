@@ -46,7 +46,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"), pii.session_key(spark))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
