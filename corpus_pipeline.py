@@ -36,8 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data; n_chars follows the new text."""
-    new = pii.replace_pii(docs.select(*COLUMNS)).drop("pii_kinds")
+    """Replace personal data under the session's key; n_chars follows the new text."""
+    new = pii.replace_pii(docs.select(*COLUMNS), pii.session_key(spark)).drop("pii_kinds")
     return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
