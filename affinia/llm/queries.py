@@ -28,7 +28,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.match_benchmark(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), width=8, min_items=2).drop("hits")
+    return decontaminate.match_benchmark(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), width=8, min_items=2, slack=4).drop("hits")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,17 +85,26 @@ SELECT i.conv_id, (place - 1) // 1024 AS part, n_turns, count(*) AS n_part_turns
 FROM i JOIN kept USING (conv_id) GROUP BY i.conv_id, (place - 1) // 1024, n_turns, n_copies
 """,
     "op5_decontamination": rf"""
-WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_BENCHMARK_WORDS}') AS w FROM documents),
-bw AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_BENCHMARK_WORDS}') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, list_slice(w, s, s + 7) AS win FROM bw, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 7) + 1)) AS s) WHERE len(w) > 0),
+WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{_BENCHMARK_WORDS}') AS w FROM documents),
+bw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all({_LOWER}, '{_BENCHMARK_WORDS}') AS w FROM benchmark),
+starts AS (SELECT item_id, w, s, least(8, len(w)) AS n FROM bw, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 7) + 1)) AS s) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, list_slice(w, s, s + n - 1) AS win FROM starts),
 lens AS (SELECT DISTINCT len(win) AS n FROM win),
-dwin AS (SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS win FROM dw, lens, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS s) WHERE len(w) >= n),
-hit AS (SELECT doc_id, s, n, item_id FROM dwin JOIN win USING (win)),
-places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+dwin AS (SELECT rid, s, n, list_slice(w, s, s + n - 1) AS win FROM dw, lens, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS s) WHERE len(w) >= n),
+hit AS (SELECT rid, s, n, item_id FROM dwin JOIN win USING (win)),
+hit_places AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid),
+tokens AS (SELECT rid, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM dw),
+counts AS (SELECT term, count(*) AS c FROM tokens GROUP BY term),
+inside AS (SELECT item_id, w, s, s + k AS item_pos, w[s + k] AS term FROM starts, LATERAL (SELECT unnest(range(0, n)) AS k)),
+rare AS (SELECT DISTINCT item_id, w, item_pos, term FROM (SELECT *, row_number() OVER (PARTITION BY item_id, w, s ORDER BY c, term, item_pos) AS rn FROM inside JOIN counts USING (term)) WHERE rn <= 2),
+met AS (SELECT DISTINCT item_id, w, rid, CAST(floor((pos - item_pos) / 4) AS BIGINT) AS band, item_pos FROM rare JOIN tokens USING (term)),
+bands AS (SELECT item_id, w, rid, band, item_pos FROM met UNION SELECT item_id, w, rid, band - 1, item_pos FROM met),
+near AS (SELECT DISTINCT rid, item_id FROM (SELECT rid, item_id, item_pos - lag(item_pos, 2) OVER (PARTITION BY item_id, w, rid, band ORDER BY item_pos) AS far FROM bands) WHERE far < 16),
+near_items AS (SELECT rid, count(*) AS n_near_items FROM near ANTI JOIN hit USING (rid, item_id) GROUP BY rid)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM dw LEFT JOIN places ON dw.doc_id = places.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM dw LEFT JOIN hit_places USING (rid) LEFT JOIN its USING (rid) LEFT JOIN near_items USING (rid)
 """,
     "op4_near_duplicates": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),

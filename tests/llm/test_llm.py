@@ -270,12 +270,44 @@ def test_decontamination(spark):
 
 def test_proximity(spark):
     items = decontaminate.items_of(frame(spark, [("i", "alpha beta gamma delta eps zeta eta theta")], "item_id string, text string"), 8)
-    docs = frame(spark, [(1, "alpha beta x gamma y delta"), (2, "alpha " + "z " * 40 + "beta"), (3, "alpha beta gamma delta eps zeta eta theta")])
-    index, places = decontaminate.build_index(docs, items, 8)
-    got = {r.doc_id: r.n_terms for r in decontaminate.proximity_matches(index, places, places.count(), 4, 3).collect()}
+    texts = decontaminate.texts_of(frame(spark, [(1, "alpha beta x gamma y delta"), (2, "alpha " + "z " * 40 + "beta"), (3, "alpha beta gamma delta eps zeta eta theta")]))
+    near = decontaminate.proximity_matches(decontaminate.meet(decontaminate.build_index(texts, items, 8)), 4, 3, 16)
+    got = {r.doc_id: r.n_terms for r in near.join(texts, "rid").collect()}
     assert got[1] == 4 and 2 not in got and got[3] == 8
 
 
+def test_long_items_take_linear_room(spark):
+    """What is stored for an item grows with its length; a long item in both tables is found whole."""
+    rng = random.Random(3)
+    sizes = []
+    for n in (500, 2000):
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        texts = decontaminate.texts_of(frame(spark, [(1, " ".join(words))]))
+        index = decontaminate.build_index(texts, decontaminate.items_of(frame(spark, [("i", " ".join(words))], "item_id string, text string"), 8), 2)
+        places = index.places.collect()
+        assert max(len(r.starts) for r in places) <= 8
+        sizes.append(sum(len(r.starts) for r in places) + index.windows.count())
+    assert sizes[1] <= 4.2 * sizes[0]
+    words = [f"w{rng.randrange(9000)}" for _ in range(20_000)]
+    docs = [(1, "before it " + " ".join(words) + " behind it"), (2, " ".join(words[5000:5100])), (3, "nothing")]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.match_benchmark(frame(spark, docs), frame(spark, [(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert got == {1: (20_004, 20_000, 1), 2: (100, 100, 1), 3: (1, 0, 0)}
+
+
+def test_large_benchmarks_join_by_shuffle(spark, monkeypatch):
+    """Without broadcasts, results are the same; rows of one doc_id are judged by themselves, null ids count as the empty one."""
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 20)))) for k in range(20)] + [(None, "the one without an id has so many words"), (None, None), (7, "")]
+    docs = [(None, " ".join(items[k % 21][1].split()[:12])) for k in range(60)] + [(1, items[20][1]), (1, "other words"), (2, "x " * 30_000 + items[3][1])]
+    schema, columns = "item_id long, text string", "doc_id long, text string, words string, rid int, hits int"
+    frames = frame(spark, [(*d, "a", 1, 2) for d in docs], columns), frame(spark, items, schema)
+    want = sorted((tuple(x)[1:] for x in exact_hits([(k, d[1]) for k, d in enumerate(docs)], [("" if i is None else i, x) for i, x in items], 8, 2)))
+    for bytes_ in (decontaminate.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bytes_)
+        got = decontaminate.match_benchmark(*frames, slack=4).collect()
+        assert sorted(tuple(r)[1:6] for r in got) == want and all(r.n_near_items >= 0 for r in got)
+
+
 def test_near_matches(spark):
     """An item whose word in each window is changed, also to one that no document holds, is found."""
     words = [f"w{k}" for k in range(15)]
@@ -283,6 +315,8 @@ def test_near_matches(spark):
     docs = frame(spark, [(1, " ".join(words)), (2, " ".join([*words[:4], "more", *words[4:7], "yet", *words[8:]])), (3, "w3 other words w9"), (4, None)])
     got = {r.doc_id for r in decontaminate.near_matches(docs, items).collect()}
     assert got == {1, 2} and decontaminate.match_benchmark(docs, items).filter("n_hit > 0").count() == 0
+    near = {r.doc_id: (r.n_items, r.n_near_items) for r in decontaminate.match_benchmark(docs, items, slack=4).collect()}
+    assert near == {1: (0, 1), 2: (0, 1), 3: (0, 0), 4: (0, 0)}
 
 
 # ---- 6, 7 tokens
