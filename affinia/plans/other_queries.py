@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinia.functions import gazetteer
 from affinia.functions.numeric import format_p, rounded
 from affinia.functions.render import markdown_lines
 from affinia.operators import grids, inference, partitions, recommend, regression, textmatch, themes
@@ -177,7 +178,7 @@ def q63(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = marked(spark, sf_dir).filter("NOT is_test").drop("is_test")
     inner = recommend.split(cells, 43)
     train, test = inner.filter("NOT is_test"), inner.filter("is_test")
-    grid = [(f"mf f={f} reg={r:g}", "mf", f, r, 0.0) for f in (2, 4, 8, 16) for r in (1.0, 5.0, 10.0, 20.0, 40.0)]
+    grid = [(f"mf f={f} reg={r:g}", "mf", f, r, 0.0) for f in (2, 4, 8, 16) for r in (1.0, 5.0, 20.0, 50.0, 100.0)]
     grid += [(f"implicit f={f} reg={r:g} alpha={a:g}", "implicit", f, r, a) for f in (4, 8, 16) for r in (1.0, 5.0, 20.0) for a in (0.5, 1.0, 4.0)]
     own = recommend.factor_predictions(train, test, recommend.biases(train), _runs(spark, grid), ["ballot", "recipient"])
     e2 = F.pow(F.col("prediction") - F.col("points"), 2)
@@ -272,19 +273,52 @@ GAZETTEER = {"the of": "of_the", "and the": "and_the", "de la": "de_la", "le la"
 _APART, _DOUBLED = r"[^\p{L}\p{N}_]", r"regexp_replace(lower({}), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
 _G_PATTERN = rf"(?:^|{_APART})(and  the|de  la|the  of|le  la|token|the|und)(?:$|{_APART})"
 _G_KEY = "CASE replace(n, '  ', ' ') " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in GAZETTEER.items()) + " END"
-_TITLE = "left(text, 40)"
 
 
 @query(
     "q69_gazetteer_match",
-    f"""WITH t AS (SELECT doc_id, regexp_extract_all({_DOUBLED.format(_TITLE)}, '{_G_PATTERN}', 1) AS ns FROM documents)
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(ns, lambda n: {_G_KEY}))), ',') AS keys FROM t""",
+    f"""WITH t AS (SELECT doc_id, regexp_extract_all({_DOUBLED.format('text')}, '{_G_PATTERN}', 1) AS ns FROM documents)
+SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(ns, lambda n: {_G_KEY}))), ','), '') AS keys FROM t""",
 )
 def q69(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.array_join(textmatch.names_in(F.col("text"), GAZETTEER), ",").alias("keys"))
 
 
+#: Titles for the country gazetteer: a whole text, the name of a nation and a flag.
+_C_TITLE = "text || ' ' || lower(n_name) || ', ' || chr(127462 + CAST(doc_id % 26 AS INTEGER)) || chr(127462 + CAST(doc_id // 26 % 26 AS INTEGER))"
+_C_NAMES = "|".join(sorted((n.replace("&", "&&").replace(" ", "  ") for n in gazetteer.NAME_KEYS), key=lambda x: (-len(x), x)))
+_C_KEY = "CASE replace(replace(n, '  ', ' '), '&&', '&') " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in gazetteer.NAME_KEYS.items()) + " END"
+_C_FLAG = "CASE chr(unicode(f[1]) - 127397) || chr(unicode(f[2]) - 127397) " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in gazetteer.FLAG_KEYS.items()) + " END"
+
+
+@query(
+    "q69_country_gazetteer",
+    rf"""WITH d AS (SELECT doc_id, {_C_TITLE} AS title FROM documents JOIN nation ON n_nationkey = doc_id % 25),
+t AS (SELECT doc_id, list_transform(regexp_extract_all({_DOUBLED.format('title')}, '(?:^|{_APART})({_C_NAMES})(?:$|{_APART})', 1), lambda n: {_C_KEY}) AS names,
+  list_filter(list_transform(regexp_extract_all(title, '[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}'), lambda f: {_C_FLAG}), lambda k: k IS NOT NULL) AS flags FROM d)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(names, flags))), ',') AS keys FROM t""",
+)
+def q69_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(nation, F.col("doc_id") % 25 == F.col("n_nationkey"))
+    letters = F.array(*(F.lit(chr(127462 + k)) for k in range(26)))
+    flag = F.concat(*(F.element_at(letters, (1 + k % 26).cast("int")) for k in (F.col("doc_id"), F.floor(F.col("doc_id") / 26))))
+    title = F.concat_ws(" ", "text", F.concat(F.lower("n_name"), F.lit(",")), flag)
+    return docs.select("doc_id", F.array_join(textmatch.names_in(title, gazetteer.NAME_KEYS, gazetteer.FLAG_KEYS), ",").alias("keys"))
+
+
+@query(
+    "q02_display_names",
+    f"""WITH r AS (SELECT n_name AS raw FROM nation UNION ALL SELECT ' ' || lower(n_name) FROM nation UNION ALL SELECT * FROM (VALUES ('UK'), ('czechia'), ('FYR Macedonia '), ('The Netherlands'), ('bosnia & herzegovina'), ('Nowhere'), (NULL)) v(raw))
+SELECT raw, coalesce(CASE lower(trim(raw)) {' '.join(f"WHEN '{n}' THEN '{gazetteer.DISPLAY[k]}'" for n, k in gazetteer.NAME_KEYS.items())} END, raw) AS shown FROM r""",
+)
+def q02_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(F.explode(F.array("n_name", F.concat(F.lit(" "), F.lower("n_name")))).alias("raw"))
+    more = spark.createDataFrame([(x,) for x in ("UK", "czechia", "FYR Macedonia ", "The Netherlands", "bosnia & herzegovina", "Nowhere", None)], "raw string")
+    return names.union(more).select("raw", gazetteer.display_name(F.col("raw")).alias("shown"))
+
+
 def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents have no title of their own, so the whole text is looked through as one."""
     docs = table(spark, sf_dir, "documents")
@@ -300,9 +334,7 @@ _N_PATTERN = rf"(?:^|{_APART})(de  la|token|und)(?:$|{_APART})"
 _N_KEY = "CASE replace(n, '  ', ' ') WHEN 'und' THEN 'Und' WHEN 'de la' THEN 'De La' WHEN 'token' THEN 'Token' END"
 
 
-@query(
-    "q70_entity_resolver",
-    f"""WITH p AS (SELECT doc_id AS slug, CAST(1995 + doc_id % 7 AS INTEGER) AS year, left(text, 30) AS title, substr(text, 31, 2000) AS text FROM documents),
+_RESOLVED = f"""WITH p AS (SELECT doc_id AS slug, CAST(1995 + doc_id % 7 AS INTEGER) AS year, text AS title, text FROM documents),
 a AS (SELECT CAST(1995 + n_nationkey % 7 AS INTEGER) AS year, upper(n_name[1]) || lower(n_name[2]) || ' ones-haa' AS full_name, n_name AS country FROM nation),
 k AS (SELECT year, country, lower(unnest(list_filter(regexp_split_to_array(full_name, '[\\s''’\\-]+'), lambda t: len(t) >= 3 AND lower(t) NOT IN ('the', 'dj', 'and', 'feat', 'feat.', 'de', 'van', 'el', 'of', 'for')))) AS tok FROM a),
 u AS (SELECT year, tok, min(country) AS country FROM k GROUP BY ALL HAVING count(DISTINCT country) = 1),
@@ -310,15 +342,19 @@ fm AS (SELECT slug, list_sort(list(DISTINCT country)) AS names FROM p JOIN a ON
 tm AS (SELECT slug, list_sort(list(DISTINCT country)) AS names FROM (SELECT slug, year, unnest(list_distinct(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}_]+'))) AS tok FROM p) w JOIN u USING (year, tok) GROUP BY slug),
 r AS (SELECT p.slug, list_sort(list_distinct(list_transform(regexp_extract_all({_DOUBLED.format('title')}, '{_N_PATTERN}', 1), lambda n: {_N_KEY}))) AS t1, coalesce(fm.names, tm.names, []) AS t2,
   list_sort(list_distinct(list_transform(regexp_extract_all({_DOUBLED.format('left(text, 800)')}, '{_N_PATTERN}', 1), lambda n: {_N_KEY}))) AS t3 FROM p LEFT JOIN fm USING (slug) LEFT JOIN tm USING (slug)),
-s AS (SELECT slug, CASE WHEN len(t1) > 0 THEN t1 WHEN len(t2) > 0 THEN t2 WHEN len(t3) > 0 THEN t3 ELSE [NULL] END AS names, CASE WHEN len(t1) > 0 THEN 'title_country' WHEN len(t2) > 0 THEN 'title_artist' WHEN len(t3) > 0 THEN 'text_fallback' ELSE 'none' END AS source FROM r)
-SELECT slug, unnest(names) AS country, source FROM s""",
-)
+s AS (SELECT slug, CASE WHEN len(t1) > 0 THEN t1 WHEN len(t2) > 0 THEN t2 WHEN len(t3) > 0 THEN t3 ELSE [NULL] END AS names, CASE WHEN len(t1) > 0 THEN 'title_country' WHEN len(t2) > 0 THEN 'title_artist' WHEN len(t3) > 0 THEN 'text_fallback' ELSE 'none' END AS source FROM r)"""
+
+
+@query("q70_entity_resolver", f"{_RESOLVED} SELECT slug, unnest(names) AS country, source FROM s")
 def q70(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts, index = _posts(spark, sf_dir)
     return textmatch.resolve(posts, index, _NAMES)
 
 
-@query("q70_resolver_counts")
+@query(
+    "q70_resolver_counts",
+    f"""{_RESOLVED} SELECT count(*) AS posts, CAST(sum(len(names)) AS BIGINT) AS "rows", count(*) FILTER (WHERE source = 'none') AS unmatched, count(*) FILTER (WHERE len(names) > 1) AS multi FROM s""",
+)
 def q70_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts, index = _posts(spark, sf_dir)
     return textmatch.resolution_counts(textmatch.resolve(posts, index, _NAMES))
@@ -330,7 +366,8 @@ _WINNERS = """yt AS (SELECT year, recipient AS country, sum(points) AS p FROM ba
 
 @query(
     "q71_theme_distribution",
-    f"""WITH {BALLOTS}, {_WINNERS}, e AS (SELECT CAST(1995 + doc_id // 25 AS INTEGER) AS year, n_name AS country, 'theme_' || (list_position(embedding[1:10], list_max(embedding[1:10])) - 1) AS theme FROM documents JOIN embeddings ON vec_id = doc_id JOIN nation ON n_nationkey = doc_id % 25 WHERE doc_id < 175),
+    f"""WITH {BALLOTS}, {_WINNERS}, e AS (SELECT CAST(1995 + doc_id // 25 AS INTEGER) AS year, n_name AS country, 'theme_' || (list_position(embedding[1:10], list_max(embedding[1:10])) - 1) AS theme
+  FROM documents CROSS JOIN (SELECT max(vec_id) + 1 AS nv FROM embeddings) JOIN embeddings ON vec_id = doc_id % nv JOIN nation ON n_nationkey = doc_id % 25),
 x AS (SELECT theme, coalesce(is_winner, false) AS w FROM e LEFT JOIN win USING (year, country)), g AS (SELECT 'all' AS grp, theme FROM x UNION ALL SELECT CASE WHEN w THEN 'winners' ELSE 'losers' END, theme FROM x)
 SELECT grp, theme, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY grp), 1) + 0.0 AS pct FROM g GROUP BY grp, theme""",
 )
@@ -347,7 +384,7 @@ def q71(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q72_twelve_flags",
-    f"""WITH {BALLOTS}, e AS (SELECT DISTINCT CAST(1995 + doc_id // 25 AS INTEGER) AS year, n_name AS country FROM documents JOIN nation ON n_nationkey = doc_id % 25 WHERE doc_id < 175),
+    f"""WITH {BALLOTS}, e AS (SELECT DISTINCT CAST(1995 + doc_id // 25 AS INTEGER) AS year, n_name AS country FROM documents JOIN nation ON n_nationkey = doc_id % 25),
 f AS (SELECT year, recipient AS country, max(CAST(points_type = 'jury' AS INTEGER)) AS j, max(CAST(points_type = 'televote' AS INTEGER)) AS t FROM ballots WHERE points = 12 GROUP BY ALL)
 SELECT year, country, coalesce(j, 0) AS jury12, coalesce(t, 0) AS public12 FROM e LEFT JOIN f USING (year, country)""",
 )
@@ -355,10 +392,23 @@ def q72(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.twelve_flags(entries(spark, sf_dir).select("year", "country").distinct(), ballots(spark, sf_dir))
 
 
-@query("q71_theme_scores")
+_KEYWORDS = {"love": ["the", "la", "die"], "war": ["of", "de", "und"]}
+
+
+def _keyword_score(words: list[str]) -> str:
+    found = " + ".join(f"len(regexp_extract_all(low, '(?:^|{_APART}){w}(?:$|{_APART})'))" for w in words)
+    return f"({found}) / greatest(1, len(list_filter(regexp_split_to_array(cut, '\\s+'), lambda x: x <> '')))"
+
+
+@query(
+    "q71_theme_scores",
+    f"""WITH c AS (SELECT doc_id, lower(left(text, 2500)) AS cut FROM documents), d AS (SELECT *, {_DOUBLED.format('cut')} AS low FROM c),
+s AS (SELECT doc_id, {_keyword_score(_KEYWORDS['love'])} AS love, {_keyword_score(_KEYWORDS['war'])} AS war FROM d)
+SELECT doc_id, CASE WHEN love >= war THEN 'love' ELSE 'war' END AS theme, {r6('greatest(love, war)')} AS score FROM s""",
+)
 def q71_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pluggable scorer over texts, with the deterministic keyword model."""
-    words = {"love": ["the", "la", "die"], "war": ["of", "de", "und"]}
+    words = _KEYWORDS
     own = themes.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", list(words), lambda s: themes.keyword_scores(s, words))
     scores = F.array(F.col("scores")["love"], F.col("scores")["war"])
     return own.select("doc_id", themes.dominant(scores, list(words)).alias("theme"), rounded(F.array_max(scores)).alias("score"))

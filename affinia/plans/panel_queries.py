@@ -150,9 +150,10 @@ def q42(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- features of entries
 
 _ACC, _PLAIN = "éóèñüçäöêíáúàâîôûëïÉÓÈÑÜÇÄÖÊÍÁÚÀÂÎÔÛËÏ", "eoenucaoeiauaaioueiEOENUCAOEIAUAAIOUEI"
-ENTRIES = """entries AS (SELECT CAST(1995 + doc_id // 25 AS INTEGER) AS year, n_name AS country, text AS lyrics,
+ENTRIES = """n_vec AS (SELECT max(vec_id) + 1 AS nv FROM embeddings),
+entries AS (SELECT CAST(1995 + doc_id // 25 AS INTEGER) AS year, n_name AS country, text AS lyrics,
   upper(lang[1]) || lang[2:] || CASE WHEN doc_id % 3 = 0 THEN '/English (live)' ELSE ' (studio)' END AS language, embedding AS themes
-  FROM documents JOIN embeddings ON vec_id = doc_id JOIN nation ON n_nationkey = doc_id % 25 WHERE doc_id < 175)"""
+  FROM documents CROSS JOIN n_vec JOIN embeddings ON vec_id = doc_id % nv JOIN nation ON n_nationkey = doc_id % 25)"""
 LANGS = """langs AS (SELECT year, country, list_distinct(list_filter(list_transform(string_split(split_part(language, '(', 1), '/'), lambda x: lower(trim(x))), lambda x: x <> '')) AS l FROM entries),
 flags AS (SELECT x.year, x.country AS a, y.country AS b, CAST(len(list_intersect(x.l, y.l)) > 0 AS DOUBLE) AS shared_language,
   CAST(len(list_filter(list_intersect(x.l, y.l), lambda z: z <> 'english')) > 0 AS DOUBLE) AS shared_non_english FROM langs x JOIN langs y ON x.year = y.year AND x.country < y.country)"""

@@ -224,3 +224,21 @@ def test_files(spark, tmp_path):
     assert [r[1] for r in rows(markdown_lines(long, ["r"]), "line_no")] == ["| r | c | v |", "| --- | --- | --- |", "| a | x | 1.0 |", "| b | y | 2.0 |"]
     p = spark.createDataFrame([(0.0001,), (0.25,)], "p double")
     assert [r[0] for r in p.select(format_p(F.col("p"), 2000)).collect()] == ["< 0.00050", "0.2500"]
+
+
+def test_country_gazetteer(spark):
+    """All keys, by name in any case, alias and flag; not inside longer words; one key however often it is named."""
+    from affinia.functions import gazetteer
+    from affinia.operators import textmatch
+
+    assert len(gazetteer.DISPLAY) == 50 == len(set(gazetteer.FLAG_KEYS))
+    flag = lambda code: "".join(chr(0x1F1E6 + ord(c) - 65) for c in code)
+    titles = {
+        "Norway & THE NETHERLANDS, norway": "netherlands,norway", "Romanian nights in Romania": "romania", "FYR Macedonia": "macedonia", "UK/Malta": "malta,united_kingdom", "Ukraine": "ukraine",
+        "bosnia & herzegovina": "bosnia_herzegovina", f"{flag('SE')}{flag('FI')} 12": "finland,sweden", f"x{flag('ZZ')}": "", "Iceland_": "", "": "", None: "", "Český Czechia": "czech_republic",
+    }
+    titles |= {f"in {shown}!": key for key, shown in gazetteer.DISPLAY.items()} | {flag(code): key for code, key in gazetteer.FLAG_KEYS.items()}
+    df = spark.createDataFrame([(t, k) for t, k in titles.items()], "title string, want string")
+    got = df.select("title", "want", F.array_join(textmatch.names_in(F.col("title"), gazetteer.NAME_KEYS, gazetteer.FLAG_KEYS), ",").alias("got"), gazetteer.display_name(F.col("title")).alias("shown")).collect()
+    assert [(r.title, r.want) for r in got] == [(r.title, r.got) for r in got]
+    assert {r.title: r.shown for r in got}["bosnia & herzegovina"] == "Bosnia and Herzegovina"
