@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinia.sources.shared import shared_dir, written
+from affinia.sources.shared import free, mark, scratch, written
 
-__all__ = ["ARROW_ROWS", "Memo", "documents", "shared_dir", "table", "tokenizer_path", "wide_rows", "written"]
+__all__ = ["ARROW_ROWS", "Memo", "documents", "free", "mark", "scratch", "table", "tokenizer_path", "wide_rows", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

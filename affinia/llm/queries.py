@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from affinia.llm import chat, decontaminate, html_text, language, near_dups, packing, pii, quality, token_counts, token_store
-from affinia.llm.common import documents, shared_dir, table, tokenizer_path
+from affinia.llm.common import documents, scratch, table, tokenizer_path
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-store")
     token_store.write_store(documents(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return token_store.read_store(spark, path)
 

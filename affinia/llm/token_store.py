@@ -68,12 +68,13 @@ def write_store(
 ) -> int:
     """Encode docs (doc_id, text), append end_id to each, and write a store to path; returns the id width.
 
-    Documents stand in ascending order of doc_id (nulls first, then by text) over the shards, and so do
-    shards. A block closes at ``block_ids`` ids; it always holds whole documents. A null text is an empty
-    one. Equal rows are stored each. Other columns are ignored. An empty table gives a store without blocks.
+    Documents stand in ascending order of doc_id over the shards, and so do shards; nulls come first, and
+    rows of one doc_id stand in the order of the table, so that they may be dealt to several shards. A block
+    closes at ``block_ids`` ids; it always holds whole documents. A null text is an empty one. Equal rows are
+    stored each. Other columns are ignored. An empty table gives a store without blocks.
     """
     width = width_for(max(Encoder(tokenizer).vocabulary, (end_id or 0) + 1))
-    chosen = wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tail = np.asarray([] if end_id is None else [end_id], "<u4")
 
@@ -106,7 +107,7 @@ def write_store(
         if doc_ids:
             yield closed()
 
-    dealt = chosen.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = chosen.repartitionByRange(shards, "doc_id", "rid").sortWithinPartitions("doc_id", "rid")
     dealt.mapInArrow(rows, SCHEMA).write.parquet(path)
     return width
 
@@ -160,3 +161,17 @@ def read_slice(spark: SparkSession, path: str, shard: int, first: int, n: int) -
         a, z = max(first, b.start), min(first + n, b.start + b.n_ids)
         out.append(unpack(bytes(b.payload)[len(MAGIC) :], b.width, a - b.start, z - a))
     return np.concatenate(out)
+
+
+def read_document(spark: SparkSession, path: str, doc_id: int | None) -> list[np.ndarray]:
+    """Random access by id: the ids of each document of that doc_id, in the order of the store. Only blocks
+    whose ids span doc_id are read, and of these only its documents are unpacked."""
+    blocks = read_blocks(spark, path)
+    first, last = F.element_at("doc_ids", 1), F.element_at("doc_ids", -1)  # ascending, nulls first
+    wanted = first.isNull() if doc_id is None else (first.isNull() | (first <= doc_id)) & (last >= doc_id)
+    out = []
+    for b in blocks.filter(wanted).orderBy("shard", "block").toLocalIterator():
+        for k, own in enumerate(b.doc_ids):
+            if own == doc_id:
+                out.append(unpack(bytes(b.payload)[len(MAGIC) :], b.width, b.offsets[k], b.offsets[k + 1] - b.offsets[k]))
+    return out
