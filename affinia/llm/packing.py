@@ -1,8 +1,8 @@
 """Packing of token sequences by first-fit decreasing.
 
-Documents are dealt at random into groups, each packed by itself. A tournament tree over the room left in
-each bin finds the first bin that an item fits into in logarithmic time. What first-fit decreasing leaves
-open is then filled by cutting the items of the emptiest bins.
+Documents are dealt at random into groups, each packed by itself, after as many whole sequences as they fill
+are cut off. A tournament tree over the room left in each bin finds the first bin that an item fits into in
+logarithmic time. What first-fit decreasing leaves open is then filled by cutting the items of the emptiest bins.
 """
 
 from __future__ import annotations
@@ -88,6 +88,10 @@ def plan(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
     return full + [b for k, b in enumerate(bins) if k not in gone]
 
 
+#: Ids of the sequences that one document fills begin here, with the task's and the sequence's number behind.
+FULL = 1 << 62
+
+
 def pack_documents(
     docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int | None = 1, group_docs: int = 2048, seed: int = 7, with_ids: bool = False
 ) -> DataFrame:
@@ -96,53 +100,72 @@ def pack_documents(
     docs: doc_id, text. A document's ids are those of its whole text and end_id. Columns: doc_id, start
     (ids of the document before the piece), length, ids_crc32 (of the piece's ids as little-endian unsigned
     32-bit integers), doc_tokens (ids of the document), sequence_id, offset (place in the sequence, gapless
-    from 0), and with ``with_ids`` the ids. Groups hold about ``group_docs`` documents, dealt by a hash of
-    doc_id, length and seed; sequence ids of a group begin at group * 2**32. All but one sequence of a group
-    are filled up, so padding is under ``size`` tokens a group.
-
-    A null text is an empty one: its document is just end_id (no piece if that is None). Repeated rows are
-    packed each. An empty table gives no rows. Other columns are ignored.
+    from 0), and with ``with_ids`` the ids. As many whole sequences as a document fills are its own; the rest,
+    under ``size`` ids, goes to one of the groups of about ``group_docs`` documents, dealt by a hash of the
+    row's number and seed, which so hold group_docs * size ids at most. Sequence ids of a group begin at group *
+    2**32. All but one sequence of a group are filled up, so padding is under ``size`` tokens a group.
+
+    A null text is an empty one: its document is just end_id (no piece if that is None). Repeated rows, and
+    rows of one doc_id, are packed each and dealt each by itself. An empty table gives no rows. Other columns
+    are ignored.
     """
     width = width_for(max(Encoder(tokenizer).vocabulary, (end_id or 0) + 1))
-    chosen = wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
     tail = np.asarray([] if end_id is None else [end_id], "<u4")
-    groups = max(1, -(-chosen.count() // group_docs))
+    groups = max(1, -(-docs.count() // group_docs))
+    columns = ["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "ids"]
 
     def encode(it) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        coder = encoder(tokenizer)
+        coder, full = encoder(tokenizer), FULL + (TaskContext.get().partitionId() << 40)
         for batch in it:
-            n, ids = [], []
-            for own in coder.encode_many(batch.column(1).to_pylist()):
+            rows = []
+            for rid, doc_id, own in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), coder.encode_many(batch.column(1).to_pylist()), strict=True):
                 own = np.concatenate([own, tail])
-                n.append(len(own))
-                ids.append(pack(own, width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+                whole = len(own) - len(own) % size
+                for at in range(0, whole, size):
+                    ids = own[at : at + size]
+                    rows.append((rid, doc_id, at, size, zlib.crc32(ids.tobytes()), len(own), full, pack(ids, width) if with_ids else None))
+                    full += 1
+                if whole < len(own):
+                    ids = own[whole:]
+                    rows.append((rid, doc_id, whole, len(ids), 0, len(own), None, pack(ids, width)))
+            kinds = [pa.int64()] * 7 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=columns)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def one_group(table):
         import pyarrow as pa
 
-        order = sorted(range(table.num_rows), key=lambda k: (table["doc_id"][k].as_py() is not None, table["doc_id"][k].as_py() or 0, table["n"][k].as_py()))
-        lengths = [table["n"][k].as_py() for k in order]
-        doc_ids = [table["doc_id"][k].as_py() for k in order]
-        group = table["group"][0].as_py()
+        cols = {c: table[c].to_pylist() for c in columns if c != "ids"}
+        packed, group = table["ids"], table["group"][0].as_py()
+        unpacked = lambda k: unpack(packed[k].as_buffer(), width, 0, cols["length"][k])
         out, pieces = [], []
-        ids = [None] * len(order)
-        for k, b in enumerate(plan(lengths, size)):
+
+        def piece(k, start, n, checked, sequence, at, ids):
+            out.append((cols["doc_id"][k], start, n, checked, cols["doc_tokens"][k], sequence, at))
+            pieces.append(ids.tolist() if with_ids else None)
+
+        rests = []
+        for k, sequence in enumerate(cols["sequence_id"]):
+            if sequence is None:
+                rests.append(k)
+            else:
+                piece(k, cols["start"][k], cols["length"][k], cols["ids_crc32"][k], sequence, 0, unpacked(k) if with_ids else None)
+        rests.sort(key=lambda k: (cols["doc_id"][k] is not None, cols["doc_id"][k] or 0, cols["length"][k], cols["rid"][k]))
+        for number, b in enumerate(plan([cols["length"][k] for k in rests], size)):
             at = 0
             for item, start, n in b:
-                if ids[item] is None:
-                    ids[item] = unpack(table["ids"][order[item]].as_buffer(), width, 0, lengths[item])
-                own = ids[item][start : start + n]
-                out.append((doc_ids[item], start, n, zlib.crc32(own.tobytes()), lengths[item], (group << 32) + k, at))
-                pieces.append(own.tolist() if with_ids else None)
+                k = rests[item]
+                ids = unpacked(k)[start : start + n]
+                piece(k, cols["start"][k] + start, n, zlib.crc32(ids.tobytes()), (group << 32) + number, at, ids)
                 at += n
-        cols = [pa.array([r[j] for r in out], pa.int64()) for j in range(len(names))]
-        return pa.table(cols + [pa.array(pieces, pa.list_(pa.int64()))] * with_ids, names=names + ["ids"] * with_ids)
+        data = [pa.array([r[j] for r in out], pa.int64()) for j in range(len(names))]
+        return pa.table(data + [pa.array(pieces, pa.list_(pa.int64()))] * with_ids, names=names + ["ids"] * with_ids)
 
-    group = F.pmod(F.xxhash64("doc_id", "n", F.lit(seed)), F.lit(groups)).alias("group")
-    dealt = chosen.mapInArrow(encode, "doc_id long, n long, ids binary").select("doc_id", "n", "ids", group)
-    return dealt.groupBy("group").applyInArrow(one_group, ", ".join(f"{x} long" for x in names) + ", ids array<long>" * with_ids)
+    group = F.pmod(F.xxhash64("rid", "start", F.lit(seed)), F.lit(groups)).alias("group")
+    coded = chosen.mapInArrow(encode, ", ".join(f"{c} long" for c in columns[:-1]) + ", ids binary").select(*columns, group)
+    return coded.groupBy("group").applyInArrow(one_group, ", ".join(f"{x} long" for x in names) + ", ids array<long>" * with_ids)
