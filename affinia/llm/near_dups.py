@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.common import Memo, wide_rows, written
+from affinia.llm.common import Memo, free, mark, wide_rows, written
 from affinia.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -201,6 +201,33 @@ def _own_items(sets: DataFrame, chosen: DataFrame) -> DataFrame:
     return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
+#: Rows under one head that a join or a pairing has in one task.
+SHARE_ROWS = 256
+
+
+def _dealt(rows: DataFrame, shares: str = "shares") -> DataFrame:
+    """rows with the share of their head that they are dealt to by id."""
+    return rows.withColumn("share", F.pmod(F.xxhash64("id"), F.col(shares)).cast("int"))
+
+
+def _for_each_share(heads: DataFrame) -> DataFrame:
+    """A row of heads for each share of the head."""
+    return heads.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+
+
+#: Heads that have more than one in so many of all rows are so few that they may be broadcast.
+FEW_HEADS = 1000
+
+
+def _of_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows (a written table) of heads (with n, their numbers of rows), joined: by broadcast with heads that
+    have a large part of the rows, of which there are FEW_HEADS at most, by shuffle with the others."""
+    least = max(SHARE_ROWS, rows.count() // FEW_HEADS)
+    large = F.broadcast(heads.filter(F.col("n") > least).drop("n"))
+    rest = rows.join(large.select("head"), "head", "left_anti").join(heads.filter(F.col("n") <= least).drop("n"), "head")
+    return rows.join(large, "head").unionByName(rest)
+
+
 def _across(placed: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a list in different components that can still be linked.
 
@@ -209,12 +236,14 @@ def _across(placed: DataFrame, stars: DataFrame, sets: DataFrame, percent: int)
     they lack and items they add, of which their own ones are shared with nobody - the size of that
     difference is bounded from below; bit maps bound what they lack or add together. Lists of one head
     meet at once. Only pairs within the bounds are made, and nodes that are in no such pair, judged by the
-    best values under their head, leave first.
+    best values under their head, leave first. A head with many nodes is dealt to shares, and so are the sizes
+    that two linked sets can have, so that no task has all of a head.
     """
-    under = placed.select("head", "id", "comp").distinct()
+    under = written(placed.select("head", "id", "comp").distinct(), "under-heads")
     sizes = under.groupBy("head", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("head").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    rows = written(under.join(main.select("head", "main"), "head"), "open-lists")
+    main = sizes.groupBy("head").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n")).filter("k > 1")
+    main = written(main.select("head", "main", "n", F.ceil(F.col("n") / SHARE_ROWS).cast("int").alias("shares")), "open-heads")
+    rows = written(_dealt(_of_heads(under, main)), "open-lists")
     own = _own_items(sets, rows.select("id").distinct())
     none = F.array(*[F.lit(0).cast("long")] * _WORDS)
     zero = F.lit(0).cast("long")
@@ -231,15 +260,20 @@ def _across(placed: DataFrame, stars: DataFrame, sets: DataFrame, percent: int)
     reach = 2 * (F.col("lacks") + F.col("alike")) - F.col("apart") + share * F.col("size")
     claim = F.col("apart") - share * F.col("size")
     kept = ["id", "comp", "size", "lacks", "alike", "apart", "lack_map", "lack_more", "add_map", "add_more"]
-    rows = written(rows.select("head", "main", *kept, reach.alias("reach"), claim.alias("claim")), "open-lists")
-    best = rows.groupBy("head").agg(F.max("reach").alias("top"), F.min("claim").alias("low"))
-    rows = rows.join(best, "head").filter((F.col("claim") <= F.col("top") + 1e-6) & (F.col("reach") >= F.col("low") - 1e-6))
-    outside = rows.filter("comp <> main").select("head", *(F.col(c).alias(f"o_{c}") for c in kept))
+    rows = written(rows.select("head", "main", "shares", "share", *kept, reach.alias("reach"), claim.alias("claim")), "open-lists")
+    best = rows.groupBy("head", "shares").agg(F.max("reach").alias("top"), F.min("claim").alias("low"))
+    rows = rows.join(_for_each_share(best).drop("shares"), ["head", "share"]).filter((F.col("claim") <= F.col("top") + 1e-6) & (F.col("reach") >= F.col("low") - 1e-6))
+    # sizes of a linked pair are in one band or in neighbouring ones
+    band = F.floor(F.log("size") / (1.001 * math.log(100 / percent))) if percent < 100 else F.col("size")
+    rows = written(rows.withColumn("band", band.cast("long")), "open-lists")
+    near_bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)) if percent < 100 else F.col("band")
+    outside = _for_each_share(rows.filter("comp <> main").drop("share")).withColumn("band", near_bands)
+    outside = outside.select("head", "share", "band", *(F.col(c).alias(f"o_{c}") for c in kept))
     met = _met("lacks", "lack_map", "lack_more") + _met("alike", "add_map", "add_more")
     fits = 100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size")
     near = 2 * met >= F.col("apart") + F.col("o_apart") - share * (F.col("size") + F.col("o_size")) - 1e-6
     other = F.col("comp") != F.col("o_comp")
-    pairs = rows.select("head", *kept).join(outside, (rows["head"] == outside["head"]) & other & fits & near)
+    pairs = rows.select("head", "share", "band", *kept).join(outside, ["head", "share", "band"]).filter(other & fits & near)
     pairs = pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
     return pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
 
@@ -262,6 +296,7 @@ def near_duplicates(
     docs = wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.filter("doc_id IS NOT NULL")
     need = match_threshold(coordinates, width, percent / 100)
+    begin = mark()
     drawn = written(sketches(docs, shingle, coordinates, width), "sketches")
     nodes = drawn.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
     nodes = written(nodes.select("digest", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")), "nodes")
@@ -278,7 +313,8 @@ def near_duplicates(
     across = _estimated(_across(placed, stars, sets, percent), cand, need)
     more = _common(across, sets).filter(_linked(percent)).select("a", "b")
     edges = joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = components(edges)
+    final = written(components(edges), "components")
+    free(docs.sparkSession, begin, drawn, nodes, final)
     reps = nodes.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     reps = reps.withColumnRenamed("digest", "rep_digest")
     out = drawn.select("doc_id", "n_shingles", "digest").join(reps, F.col("digest") == F.col("rep_digest"), "left")

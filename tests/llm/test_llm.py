@@ -224,6 +224,32 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(31), 0), 40: 40, 50: 40, 60: 40}
 
 
+def test_near_duplicates_of_hot_groups(spark, monkeypatch):
+    """Heads with many nodes are dealt to shares, also those that are a large part of all rows; nothing is left behind."""
+    from affinia.sources import shared
+
+    monkeypatch.setattr(near_dups, "SHARE_ROWS", 4)
+    base = [f"w{k}" for k in range(40)]
+    rng = random.Random(8)
+    docs = [(k, " ".join(w if rng.random() > 0.09 else f"x{rng.randrange(60)}" for w in base)) for k in range(150)] + [(200 + k, x) for k, (_, x) in enumerate(near_copies(11, 4, 8))]
+    docs += [(400, "y " * 100_000), (401, "y " * 100_000)]
+    for few in (1000, 3):
+        monkeypatch.setattr(near_dups, "FEW_HEADS", few)
+        begin = shared.mark()
+        found = near_dups.near_duplicates(frame(spark, [(*d, "s", 1) for d in docs], DOCS + ", sig string, component_id int"), 2)
+        assert {r[0]: (r[1], r[2]) for r in found.collect()} == exact_components(docs, 2, 80)
+        assert shared.mark() - begin <= 5
+        shared.free(spark, begin)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text("ab A\n", max_size=9), min_size=1, max_size=30))
+def test_near_duplicates_of_short_texts(spark, texts):
+    docs = list(enumerate(texts))
+    got = {r[0]: (r[1], r[2]) for r in near_dups.near_duplicates(frame(spark, docs), 2).collect()}
+    assert got == exact_components(docs, 2, 80)
+
+
 # ---- 5 decontamination
 
 
@@ -372,10 +398,28 @@ def test_token_store(spark, tables, tmp_path):
     shard = blocks[-1].shard
     n = sum(b.n_ids for b in blocks if b.shard == shard)
     assert token_store.read_slice(spark, path, shard, 2, n - 3).tolist() == flat[len(flat) - n + 2 : -1]
+    by_id = collections.defaultdict(list)
+    for i, ids in encoded(EDGES, 2):
+        by_id[i].append(ids)
+    for i, want in by_id.items():
+        assert [x.tolist() for x in token_store.read_document(spark, path, i)] == want
+    assert token_store.read_document(spark, path, 99) == [] == token_store.read_document(spark, path, None)
     token_store.write_store(frame(spark, []), f"{path}0", TOKENIZER, shards=2)
     assert token_store.read_store(spark, f"{path}0").count() == 0
 
 
+def test_token_store_of_equal_ids(spark, tmp_path):
+    """Rows of one id or none are dealt over shards, in the order of the table; further columns don't matter."""
+    docs = [(None, f"none {k}") for k in range(300)] + [(5, f"five {k}") for k in range(300)] + [(6, None)]
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(frame(spark, [(*d, 1, 2) for d in docs], DOCS + ", rid int, shard int").coalesce(1), path, TOKENIZER, shards=6, block_ids=200)
+    got = token_store.read_store(spark, path, with_ids=True).orderBy("start").collect()
+    assert [(r.doc_id, r.ids) for r in got] == encoded(docs, 2)
+    rows = {r.shard: r.n for r in token_store.read_blocks(spark, path).groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect()}
+    assert len(rows) >= 5 and max(rows.values()) < 250
+    assert [x.tolist() for x in token_store.read_document(spark, path, None)] == [ids for i, ids in encoded(docs, 2) if i is None]
+
+
 def pieces_hold(pieces, docs, size=2048):
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
@@ -407,6 +451,20 @@ def test_packing(spark, tables):
     assert packing.pack_documents(frame(spark, []), TOKENIZER).count() == 0
 
 
+def test_packing_groups_are_bounded(spark):
+    """Equal rows are dealt over groups; a group gets less than a sequence of each document."""
+    same = [(1, "equal words")] * 3000 + [(None, None)] * 50
+    pieces = packing.pack_documents(frame(spark, [(*d, 1, 2) for d in same], DOCS + ", rid int, start int"), TOKENIZER, group_docs=100, with_ids=True).collect()
+    groups = collections.Counter(p.sequence_id >> 32 for p in pieces)
+    assert len(groups) == 31 and max(groups.values()) < 200 and len(pieces) >= 3050
+    long = [(k, "word " * n) for k, n in enumerate((100_000, 2047, 2048, 2049, 5, 0))]
+    pieces = packing.pack_documents(frame(spark, long), TOKENIZER, with_ids=True).collect()
+    pieces_hold(pieces, long)
+    ids = dict(encoded(long, 1))
+    assert all(p.ids == ids[p.doc_id][p.start : p.start + p.length] for p in pieces)
+    assert sum(p.sequence_id >= packing.FULL for p in pieces) == sum(len(x) // 2048 for x in ids.values())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 70), max_size=40))
 def test_plan(lengths):
