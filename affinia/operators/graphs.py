@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinia.functions.hashing import permuted
+from affinia.functions.hashing import placed_ends, relabelled
 from affinia.functions.numeric import haversine_km
 
 
@@ -246,12 +246,11 @@ def pair_distances(coords: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(b)).filter("a < b").select("a", "b", km.alias("km"))
 
 
-def within_distance(pairs: DataFrame, labels: DataFrame, *keys: str, node: str = "country") -> DataFrame:
-    """(keys..., km): mean distance of the pairs with one label."""
-    la = labels.select(*keys, F.col(node).alias("a"), F.col("label").alias("la"))
-    lb = labels.select(*keys, F.col(node).alias("b"), F.col("label").alias("lb"))
-    own = pairs.join(la, "a").join(lb, [*keys, "b"]).filter("la = lb")
-    return own.groupBy(*keys).agg(F.avg("km").alias("km"))
+def within_distance(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row (km): mean distance of the pairs with one label."""
+    la = labels.select(F.col("country").alias("a"), F.col("label").alias("la"))
+    lb = labels.select(F.col("country").alias("b"), F.col("label").alias("lb"))
+    return pairs.join(la, "a").join(lb, "b").filter("la = lb").agg(F.avg("km").alias("km"))
 
 
 def compactness(spark: SparkSession, coords: DataFrame, labels: DataFrame, draws: int, seed: str) -> DataFrame:
@@ -259,7 +258,8 @@ def compactness(spark: SparkSession, coords: DataFrame, labels: DataFrame, draws
     pairs = pair_distances(coords)
     known = labels.join(F.broadcast(coords.select("country")), "country", "left_semi")
     seen = within_distance(pairs, known).select(F.col("km").alias("observed_km"))
-    null = within_distance(pairs, permuted(spark, known, draws, seed), "draw", node="node").crossJoin(F.broadcast(seen))
+    drawn = relabelled(spark, known, draws, seed).crossJoin(F.broadcast(placed_ends(pairs, known, "a", "b")))
+    null = drawn.filter(F.get("labels", F.col("pa")) == F.get("labels", F.col("pb"))).groupBy("draw").agg(F.avg("km").alias("km")).crossJoin(F.broadcast(seen))
     stats = null.agg(F.max("observed_km").alias("observed_km"), F.avg("km").alias("expected_km"), F.avg((F.col("km") <= F.col("observed_km")).cast("double")).alias("p_value"))
     return stats.withColumn("ratio", F.col("observed_km") / F.col("expected_km"))
 

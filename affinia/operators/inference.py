@@ -1,17 +1,19 @@
 """Resampling inference over dyad panels.
 
 Statistics are linear in sums and counts by (voter, recipient), so panels are collapsed to these before
-they meet the permutations: a join with B draws doesn't grow with the number of years.
+they meet the draws, and don't grow with the number of years. A draw is one row with an array by node, which
+meets the broadcast dyads (nodes squared at most) and is summed up where it is: nothing but sums is shuffled.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinia.functions.hashing import bootstrap, draws, key, permuted
+from affinia.functions.hashing import draws, key, placed_ends, relabelled, resampled
 
 
 def collapsed(panel: DataFrame, *values: str) -> DataFrame:
@@ -32,13 +34,18 @@ def observed(panel: DataFrame, *values: str) -> DataFrame:
     return wide.unpivot([], list(values), "value", "observed")
 
 
+def _drawn(drawn: DataFrame, dyads: DataFrame, labels: DataFrame) -> DataFrame:
+    return drawn.crossJoin(F.broadcast(placed_ends(dyads, labels)))
+
+
+def _same() -> Column:
+    return F.get("labels", F.col("pa")) == F.get("labels", F.col("pb"))
+
+
 def label_null(spark: SparkSession, panel: DataFrame, labels: DataFrame, n: int, seed: str, *values: str) -> DataFrame:
     """(draw, values...): the statistic under relabelled countries."""
-    perms = permuted(spark, labels, n, seed)
-    dyads = collapsed(panel, *values)
-    a = perms.select("draw", F.col("node").alias("voter"), F.col("label").alias("la"))
-    b = perms.select("draw", F.col("node").alias("recipient"), F.col("label").alias("lb"))
-    own = dyads.join(a, "voter").join(b, ["draw", "recipient"]).withColumn("same", F.col("la") == F.col("lb"))
+    own = _drawn(relabelled(spark, labels, n, seed), collapsed(panel, *values), labels)
+    own = own.select("draw", *values, "n", _same().alias("same"))
     return own.groupBy("draw").agg(*(difference(v, F.col("same")).alias(v) for v in values))
 
 
@@ -58,10 +65,8 @@ def dispersion(panel: DataFrame, value: str = "gap", least: int = 1) -> DataFram
 
 
 def dispersion_null(spark: SparkSession, panel: DataFrame, labels: DataFrame, n: int, seed: str, value: str = "gap", least: int = 1) -> DataFrame:
-    perms = permuted(spark, labels, n, seed)
-    a = perms.select("draw", F.col("node").alias("voter"), F.col("label"))
-    b = perms.select("draw", F.col("node").alias("recipient"), F.col("label").alias("lb"))
-    own = collapsed(panel, value).join(a, "voter").join(b, ["draw", "recipient"]).filter("label = lb")
+    own = _drawn(relabelled(spark, labels, n, seed), collapsed(panel, value), labels).filter(_same())
+    own = own.select("draw", F.get("labels", F.col("pa")).alias("label"), value, "n")
     return _dispersion(own, ["draw"], value, least).filter("sd IS NOT NULL")
 
 
@@ -78,15 +83,12 @@ def naive_null(spark: SparkSession, panel: DataFrame, n: int, seed: str, value:
 
 def node_bootstrap(spark: SparkSession, panel: DataFrame, labels: DataFrame, n: int, seed: str, value: str = "gap") -> DataFrame:
     """(draw, stat): countries are drawn with replacement, a dyad counts as often as both ends."""
-    drawn = bootstrap(spark, labels, n, seed)
     own_labels = F.broadcast(labels.select("country", "label"))
     dyads = collapsed(panel, value)
     for side, name in (("voter", "la"), ("recipient", "lb")):
         dyads = dyads.join(own_labels.select(F.col("country").alias(side), F.col("label").alias(name)), side)
-    a = drawn.select("draw", F.col("node").alias("voter"), F.col("times").alias("ta"))
-    b = drawn.select("draw", F.col("node").alias("recipient"), F.col("times").alias("tb"))
-    own = dyads.join(a, "voter").join(b, ["draw", "recipient"])
-    times = F.col("ta") * F.col("tb")
+    own = _drawn(resampled(spark, labels, n, seed), dyads, labels)
+    times = F.get("times", F.col("pa")) * F.get("times", F.col("pb"))
     own = own.select("draw", (F.col("la") == F.col("lb")).alias("same"), (F.col(value) * times).alias("x"), (F.col("n") * times).alias("w"))
     return own.groupBy("draw").agg(difference("x", F.col("same"), "w").alias("stat")).filter("stat IS NOT NULL")
 
@@ -173,3 +175,12 @@ def student_t_two_sided(t: float, df: float) -> float:
 
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def with_student_p(rows: DataFrame, t: str = "t", n: str = "n") -> DataFrame:
+    """rows with ``p_value`` of a paired test; the distinct (t, n) are few, one for each test."""
+    @F.pandas_udf("double")
+    def p(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else student_t_two_sided(x, k - 1) for x, k in zip(t, n, strict=True)], dtype="float64")
+
+    return rows.withColumn("p_value", p(t, n))

@@ -11,6 +11,9 @@ from affinia.plans.base import BALLOTS, COORDS, COSINE, COUNTRIES, LABELS, OPPOR
 from affinia.sources.shared import written
 from affinia.sources.tables import coordinates, labels, raw_ballots, stacked, table
 
+#: Fixed value: the published number of draws of the geography test.
+GEO_DRAWS = 2_000
+
 
 @query("q01_clean_ballots", f"WITH {BALLOTS} SELECT * FROM ballots")
 def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,13 +288,13 @@ def q28(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q29_geo_compactness",
-    f"""WITH {COORDS}, known AS (SELECT n_name AS country, n_regionkey AS label FROM nation WHERE n_nationkey <> 0), {perms('geo', 200, 'known')},
+    f"""WITH {COORDS}, known AS (SELECT n_name AS country, n_regionkey AS label FROM nation WHERE n_nationkey <> 0), {perms('geo', GEO_DRAWS, 'known')},
 o AS (SELECT avg(km) AS o FROM km JOIN known x ON x.country = a JOIN known y ON y.country = b WHERE x.label = y.label),
 n AS (SELECT x.draw, avg(km) AS km FROM km JOIN perms x ON x.node = a JOIN perms y ON y.node = b AND y.draw = x.draw WHERE x.label = y.label GROUP BY x.draw)
 SELECT {r6('max(o)')} AS observed_km, {r6('avg(km)')} AS expected_km, {r6('avg(CAST(km <= o AS DOUBLE))')} AS p_value, {r6('max(o) / avg(km)')} AS ratio FROM n, o""",
 )
 def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = graphs.compactness(spark, coordinates(spark, sf_dir), labels(spark, sf_dir), 200, "geo")
+    own = graphs.compactness(spark, coordinates(spark, sf_dir), labels(spark, sf_dir), GEO_DRAWS, "geo")
     return own.select(*(rounded(c).alias(c) for c in ("observed_km", "expected_km", "p_value", "ratio")))
 
 

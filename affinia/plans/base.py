@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from affinia.operators.clean import in_window
+from affinia.sources.shared import exists, written
 from affinia.sources.tables import FIRST_YEAR, LAST_YEAR, SPLIT_YEAR, raw_ballots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Vote facts that this process has written, by session and folder.
+_FACTS: dict[tuple[str, str], DataFrame] = {}
 KEY = ["edition", "year", "points_type", "voter", "recipient", "points"]
 WINDOWS = {"full": (FIRST_YEAR, LAST_YEAR, None), "jury": (SPLIT_YEAR, LAST_YEAR, ["jury"]), "televote": (SPLIT_YEAR, LAST_YEAR, ["televote"])}
 
@@ -29,8 +32,17 @@ def query(name: str, sql: str | None = None):
 
 def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vote fact of the tables, equal rows once: at most nations^2 x years x kinds x points rows at any
-    scale, so it is kept in memory for the session's further queries."""
-    return raw_ballots(spark, sf_dir).filter("voter <> recipient").dropDuplicates(KEY).persist()
+    scale. It is a rollup of the order lines that is written once a session, for further queries too, until
+    ``shared.free`` removes it or ``forget`` drops it, as is needed where the tables change."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _FACTS or not exists(_FACTS[at]):
+        _FACTS[at] = written(raw_ballots(spark, sf_dir).filter("voter <> recipient").dropDuplicates(KEY), "ballots")
+    return _FACTS[at]
+
+
+def forget() -> None:
+    """Make the vote facts anew when they are next asked for."""
+    _FACTS.clear()
 
 
 def split_ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +95,7 @@ km2 AS (SELECT * FROM km UNION ALL SELECT b, a, km FROM km)"""
 
 
 def perms(seed: str, draws: int, labels: str = "labels") -> str:
-    """CTE perms (draw, node, label): relabellings as in functions.hashing.permuted."""
+    """CTE perms (draw, node, label): relabellings as in functions.hashing.relabelled."""
     return f"""places AS (SELECT country, label, row_number() OVER (ORDER BY country) AS place FROM {labels}),
 perms AS (SELECT r.draw, p.country AS node, r.label FROM (SELECT d.draw, l.label, row_number() OVER (PARTITION BY d.draw ORDER BY md5('{seed}:' || d.draw || ':' || l.country)) AS place
   FROM (SELECT unnest(range({draws})) AS draw) d, {labels} l) r JOIN places p ON p.place = r.place)"""

@@ -38,7 +38,7 @@ scored AS (SELECT *, greatest(0.0, least(12.0, base)) AS prediction FROM test)""
 def ranked(source: str, prediction: str, name: str) -> str:
     """CTE of ranks as in recommend.ranks."""
     return f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY round({prediction}, 9) DESC, md5('42:' || ballot || ':' || recipient)) AS rp,
-  row_number() OVER (PARTITION BY ballot ORDER BY points DESC, md5('42:' || ballot || ':' || recipient)) AS ra FROM {source}),
+  row_number() OVER (PARTITION BY ballot ORDER BY points DESC, recipient) AS ra FROM {source}),
 {name} AS (SELECT ballot, coalesce(sum(CASE WHEN rp <= 5 THEN points / log2(rp + 1) ELSE 0 END) / nullif(sum(CASE WHEN ra <= 5 THEN points / log2(ra + 1) ELSE 0 END), 0), 0) AS ndcg,
   coalesce(sum(CASE WHEN rp <= 10 THEN points / log2(rp + 1) ELSE 0 END) / nullif(sum(CASE WHEN ra <= 10 THEN points / log2(ra + 1) ELSE 0 END), 0), 0) AS ndcg2,
   count(*) FILTER (WHERE rp <= 5 AND ra <= 5) / 5.0 AS "precision", avg(pow({prediction} - points, 2)) AS mse FROM {name}_r GROUP BY ballot)"""
@@ -102,7 +102,7 @@ def q57(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "run string, model string, factors int, reg double, alpha double")
+    return spark.createDataFrame(rows, recommend.RUNS)
 
 
 def _factor_scores(spark: SparkSession, sf_dir: str, grid: list[tuple]) -> DataFrame:
@@ -152,8 +152,7 @@ def q61(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q61_paired_ttest_p")
 def q61_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.udf(lambda t, n: inference.student_t_two_sided(t, n - 1), "double")  # two rows in all
-    return written(q61(spark, sf_dir).coalesce(1), "paired").withColumn("p_value", p("t", "n")).withColumn("shown", format_p(F.col("p_value"), 2000))
+    return inference.with_student_p(written(q61(spark, sf_dir), "paired")).withColumn("shown", format_p(F.col("p_value"), 2000))
 
 
 @query(
@@ -172,33 +171,80 @@ def q62(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.examples(scored).withColumns({c: rounded(c) for c in ("predicted_value", "actual_value")})
 
 
+#: CTEs of the predictions of the models that SQL can fit, long, with their names.
+_SQL_MODELS = f"""{KNN}, g AS (SELECT avg(points) AS g FROM marked WHERE NOT is_test), vm AS (SELECT voter, avg(points) AS v FROM marked WHERE NOT is_test GROUP BY voter),
+preds AS (SELECT 'baseline_global_mean' AS model, '' AS params, ballot, recipient, points, g AS prediction FROM test, g
+  UNION ALL SELECT 'baseline_voter_mean', '', ballot, recipient, points, coalesce(v, g) FROM test LEFT JOIN vm USING (voter) CROSS JOIN g
+  UNION ALL SELECT 'bias_only_entry_quality', '', ballot, recipient, points, prediction FROM scored
+  UNION ALL SELECT 'neighborhood_cf', 'n_neighbors=10, shrinkage=25, min_overlap=30', ballot, recipient, points, prediction FROM knn),
+by_ballot_r AS (SELECT *, row_number() OVER (PARTITION BY model, ballot ORDER BY round(prediction, 9) DESC, md5('42:' || ballot || ':' || recipient)) AS rp,
+  row_number() OVER (PARTITION BY model, ballot ORDER BY points DESC, recipient) AS ra FROM preds),
+by_ballot AS (SELECT model, params, ballot, coalesce(sum(CASE WHEN rp <= 5 THEN points / log2(rp + 1) ELSE 0 END) / nullif(sum(CASE WHEN ra <= 5 THEN points / log2(ra + 1) ELSE 0 END), 0), 0) AS ndcg,
+  coalesce(sum(CASE WHEN rp <= 10 THEN points / log2(rp + 1) ELSE 0 END) / nullif(sum(CASE WHEN ra <= 10 THEN points / log2(ra + 1) ELSE 0 END), 0), 0) AS ndcg2,
+  count(*) FILTER (WHERE rp <= 5 AND ra <= 5) / 5.0 AS "precision", avg(pow(prediction - points, 2)) AS mse FROM by_ballot_r GROUP BY ALL)"""
+_SQL_NAMES = ["baseline_global_mean", "baseline_voter_mean", "bias_only_entry_quality", "neighborhood_cf"]
+
+
+def _compared(spark: SparkSession, sf_dir: str, models: list[str]) -> DataFrame:
+    own = recommend.comparison(recommend.model_predictions(marked(spark, sf_dir), models), 42)
+    return own.select("model", "params", "n_cells", "n_ballots", *(rounded(c).alias(c) for c in _METRICS))
+
+
+@query(
+    "q60_model_comparison",
+    f"""WITH {BALLOTS}, {_SQL_MODELS}, e AS (SELECT model, count(*) AS n_cells, sqrt(avg(pow(prediction - points, 2))) AS rmse, sqrt(avg(pow(prediction - points, 2)) FILTER (WHERE points > 0)) AS rmse_awarded FROM preds GROUP BY model)
+SELECT model, params, max(n_cells) AS n_cells, count(*) AS n_ballots, {r6('max(rmse)')} AS rmse, {r6('max(rmse_awarded)')} AS rmse_awarded, {r6('avg("precision")')} AS "precision", {r6('avg(ndcg)')} AS ndcg, {r6('avg(ndcg2)')} AS ndcg2
+FROM by_ballot JOIN e USING (model) GROUP BY model, params""",
+)
+def q60_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir, _SQL_NAMES)
+
+
+@query("q60_all_models")
+def q60_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six models on one split, beside their means and deviations over the repeated splits."""
+    return _compared(spark, sf_dir, list(recommend.MODELS)).join(q64(spark, sf_dir), "model", "left")
+
+
+@query(
+    "q61_model_significance",
+    f"""WITH {BALLOTS}, {_SQL_MODELS}, x AS (SELECT 'ndcg' AS metric, true AS up, a.ndcg AS a, b.ndcg AS b FROM by_ballot a JOIN by_ballot b USING (ballot) WHERE a.model = 'neighborhood_cf' AND b.model = 'bias_only_entry_quality'
+  UNION ALL SELECT 'mse', false, a.mse, b.mse FROM by_ballot a JOIN by_ballot b USING (ballot) WHERE a.model = 'neighborhood_cf' AND b.model = 'bias_only_entry_quality')
+SELECT 'neighborhood_cf' AS model, 'bias_only_entry_quality' AS reference, metric, {r6('avg(a)')} AS model_mean, {r6('avg(b)')} AS reference_mean, {r6('avg(a - b)')} AS mean_difference,
+  CASE WHEN up THEN avg(a - b) > 0 ELSE avg(a - b) < 0 END AS model_better, {r6('avg(a - b) / (stddev_samp(a - b) / sqrt(count(*)))')} AS t, count(*) AS n FROM x GROUP BY metric, up""",
+)
+def q61_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = recommend.model_predictions(marked(spark, sf_dir), ["bias_only_entry_quality", "neighborhood_cf"])
+    own = recommend.significance(scored, 42, comparisons=[("neighborhood_cf", "bias_only_entry_quality")])
+    return own.withColumns({c: rounded(c) for c in ("model_mean", "reference_mean", "mean_difference", "t")})
+
+
+@query("q61_all_significance")
+def q61_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published comparisons, with p-values: a row for each pair and metric."""
+    own = written(recommend.significance(recommend.model_predictions(marked(spark, sf_dir), list(recommend.MODELS)), 42), "significance")
+    return inference.with_student_p(own).withColumns({c: rounded(c) for c in ("model_mean", "reference_mean", "mean_difference", "t", "p_value")})
+
+
 @query("q63_grid_search")
 def q63(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published grids: 4 x 5 of factorisation, 3 x 3 x 3 of implicit feedback, on an inner split."""
+    """The published grids: 4 x 5 of factorisation, 3 x 3 x 3 of implicit feedback, on an inner split; the best first."""
     cells = marked(spark, sf_dir).filter("NOT is_test").drop("is_test")
-    inner = recommend.split(cells, 43)
+    inner = written(recommend.split(cells, 43), "inner-split")
     train, test = inner.filter("NOT is_test"), inner.filter("is_test")
-    grid = [(f"mf f={f} reg={r:g}", "mf", f, r, 0.0) for f in (2, 4, 8, 16) for r in (1.0, 5.0, 20.0, 50.0, 100.0)]
-    grid += [(f"implicit f={f} reg={r:g} alpha={a:g}", "implicit", f, r, a) for f in (4, 8, 16) for r in (1.0, 5.0, 20.0) for a in (0.5, 1.0, 4.0)]
+    grid = [(f"mf n_factors={f}, reg={r:g}", "mf", f, r, 0.0) for f in (2, 4, 8, 16) for r in (1.0, 5.0, 20.0, 50.0, 100.0)]
+    grid += [(f"implicit n_factors={f}, reg={r:g}, alpha={a:g}", "implicit", f, r, a) for f in (4, 8, 16) for r in (1.0, 5.0, 20.0) for a in (0.5, 1.0, 4.0)]
     own = recommend.factor_predictions(train, test, recommend.biases(train), _runs(spark, grid), ["ballot", "recipient"])
-    e2 = F.pow(F.col("prediction") - F.col("points"), 2)
-    rmse = own.groupBy("run").agg(rounded(F.sqrt(F.avg(e2))).alias("rmse"))
-    rank = recommend.per_ballot(own, 42, 5, "run").groupBy("run").agg(rounded(F.avg("ndcg")).alias("ndcg"))
-    return rmse.join(rank, "run").orderBy("rmse", "run")
+    found = recommend.evaluation(written(own, "grid"), 42, 5, "run")
+    return found.select("run", *(rounded(c).alias(c) for c in _METRICS)).orderBy("rmse", "run")
 
 
 @query("q64_repeated_splits")
 def q64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = []
-    for seed in (42, 7, 13, 2021, 99):
-        train, test, fitted = parts(spark, sf_dir, seed)
-        scored = {
-            "bias": recommend.bias_predictions(test, fitted).select("ballot", "recipient", "points", "prediction"),
-            "mf": recommend.factor_predictions(train, test, fitted, _runs(spark, [("mf", "mf", 4, 20.0, 0.0)]), ["ballot", "recipient"]).select("ballot", "recipient", "points", "prediction"),
-        }
-        out += [recommend.evaluation(df, seed).select(F.lit(m).alias("model"), F.lit(seed).alias("seed"), "rmse", "ndcg") for m, df in scored.items()]
-    every = stacked(*out)
-    return every.groupBy("model").agg(*(rounded(f(c)).alias(f"{c}_{n}") for c in ("rmse", "ndcg") for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+    """All six models over the published seeds, fitted at once."""
+    cells = written(recommend.splits(grids.interactions(ballots(spark, sf_dir)), recommend.SEEDS), "splits")
+    own = recommend.over_seeds(written(recommend.model_predictions(cells, list(recommend.MODELS), ("seed",)), "predictions"))
+    return own.select("model", *(rounded(c).alias(c) for c in own.columns if c != "model"))
 
 
 _AGREE = """z AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS p FROM c), ka AS (SELECT a, sum(n) AS n FROM c GROUP BY a), kb AS (SELECT b, sum(n) AS n FROM c GROUP BY b),

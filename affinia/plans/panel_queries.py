@@ -11,7 +11,8 @@ from affinia.plans.base import BALLOTS, PANEL, ballots, perms, query, r6, split_
 from affinia.sources.shared import written
 from affinia.sources.tables import entries, labels
 
-DRAWS = 200
+#: The published numbers of draws of each test.
+QAP_DRAWS, BOOTSTRAP_DRAWS, NAIVE_DRAWS, MRQAP_DRAWS = 20_000, 5_000, 2_000, 2_000
 
 
 def panel_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def q36(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.dispersion(panel_of(spark, sf_dir), "gap", 20).select(rounded("sd").alias("sd"))
 
 
-_NULL = f"""{perms('qap', DRAWS)},
+_NULL = f"""{perms('qap', QAP_DRAWS)},
 dy AS (SELECT voter, recipient, sum(gap) AS gap, sum(top_gap) AS top_gap, count(*) AS n FROM panel GROUP BY ALL),
 pd AS (SELECT x.draw, gap, top_gap, n, x.label = y.label AS s FROM dy JOIN perms x ON x.node = voter JOIN perms y ON y.node = recipient AND y.draw = x.draw),
 nul AS (SELECT draw, sum(gap) FILTER (WHERE s) / sum(n) FILTER (WHERE s) - sum(gap) FILTER (WHERE NOT s) / sum(n) FILTER (WHERE NOT s) AS gap,
@@ -79,7 +80,7 @@ nul AS (SELECT draw, sum(gap) FILTER (WHERE s) / sum(n) FILTER (WHERE s) - sum(g
 
 @query("q37_qap_null", f"WITH {BALLOTS}, {PANEL}, {_NULL} SELECT CAST(draw AS INTEGER) AS draw, {r6('gap')} AS gap, {r6('top_gap')} AS top_gap FROM nul")
 def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = inference.label_null(spark, panel_of(spark, sf_dir), labels(spark, sf_dir), DRAWS, "qap", "gap", "top_gap")
+    own = inference.label_null(spark, panel_of(spark, sf_dir), labels(spark, sf_dir), QAP_DRAWS, "qap", "gap", "top_gap")
     return own.select("draw", rounded("gap").alias("gap"), rounded("top_gap").alias("top_gap"))
 
 
@@ -92,7 +93,7 @@ FROM u JOIN o USING (outcome) GROUP BY outcome""",
 )
 def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = panel_of(spark, sf_dir)
-    null = inference.label_null(spark, panel, labels(spark, sf_dir), DRAWS, "qap", "gap", "top_gap")
+    null = inference.label_null(spark, panel, labels(spark, sf_dir), QAP_DRAWS, "qap", "gap", "top_gap")
     seen = inference.observed(panel, "gap", "top_gap")
     parts = [inference.permutation_test(null, seen.filter(F.col("value") == v), v).select(F.lit(v).alias("outcome"), *(rounded(c).alias(c) for c in ("observed", "null_sd", "p_value", "z", "mde"))) for v in ("gap", "top_gap")]
     return parts[0].unionByName(parts[1])
@@ -100,7 +101,7 @@ def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q39_qap_dispersion",
-    f"""WITH {BALLOTS}, {PANEL}, {perms('disp', DRAWS)}, dy AS (SELECT voter, recipient, sum(gap) AS gap, count(*) AS n FROM panel GROUP BY ALL),
+    f"""WITH {BALLOTS}, {PANEL}, {perms('disp', QAP_DRAWS)}, dy AS (SELECT voter, recipient, sum(gap) AS gap, count(*) AS n FROM panel GROUP BY ALL),
 m AS (SELECT x.draw, x.label, sum(gap) AS s, sum(n) AS n FROM dy JOIN perms x ON x.node = voter JOIN perms y ON y.node = recipient AND y.draw = x.draw WHERE x.label = y.label GROUP BY ALL),
 c AS (SELECT *, s / n AS m, sum(s) OVER (PARTITION BY draw) / sum(n) OVER (PARTITION BY draw) AS g FROM m), d AS (SELECT draw, CASE WHEN count(*) >= 2 THEN sqrt(sum(pow(m - g, 2) * n) / sum(n)) END AS sd FROM c GROUP BY draw),
 om AS (SELECT from_label, sum(gap) AS s, count(*) AS n FROM panel WHERE same GROUP BY ALL), og AS (SELECT sum(s) / sum(n) AS g FROM om), o AS (SELECT sqrt(sum(pow(s / n - g, 2) * n) / sum(n)) AS o FROM om, og)
@@ -109,7 +110,7 @@ SELECT {r6('max(o)')} AS observed, {r6('avg(sd)')} AS null_mean, {r6('(count(*)
 def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = panel_of(spark, sf_dir)
     seen = inference.dispersion(panel).select(F.col("sd").alias("o"))
-    null = inference.dispersion_null(spark, panel, labels(spark, sf_dir), DRAWS, "disp").crossJoin(F.broadcast(seen))
+    null = inference.dispersion_null(spark, panel, labels(spark, sf_dir), QAP_DRAWS, "disp").crossJoin(F.broadcast(seen))
     p = inference.upper_p(F.round("sd", 9), F.round("o", 9))
     return null.agg(rounded(F.max("o")).alias("observed"), rounded(F.avg("sd")).alias("null_mean"), rounded(p).alias("p_value"), F.count("sd").alias("n_draws"))
 
@@ -117,24 +118,24 @@ def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q40_naive_permutation",
     f"""WITH {BALLOTS}, {PANEL}, r AS (SELECT year || '|' || voter || '|' || recipient AS k, gap, same, row_number() OVER (ORDER BY year || '|' || voter || '|' || recipient) AS place FROM panel),
-p AS (SELECT draw, same AS s, row_number() OVER (PARTITION BY draw ORDER BY md5('naive:' || draw || ':' || k)) AS place FROM r, (SELECT unnest(range(20)) AS draw))
+p AS (SELECT draw, same AS s, row_number() OVER (PARTITION BY draw ORDER BY md5('naive:' || draw || ':' || k)) AS place FROM r, (SELECT unnest(range({NAIVE_DRAWS})) AS draw))
 SELECT CAST(draw AS INTEGER) AS draw, round(avg(gap) FILTER (WHERE s) - avg(gap) FILTER (WHERE NOT s), 6) + 0.0 AS stat FROM p JOIN r USING (place) GROUP BY draw""",
 )
 def q40(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.naive_null(spark, panel_of(spark, sf_dir), 20, "naive").select("draw", rounded("stat").alias("stat"))
+    return inference.naive_null(spark, panel_of(spark, sf_dir), NAIVE_DRAWS, "naive").select("draw", rounded("stat").alias("stat"))
 
 
 @query(
     "q41_node_bootstrap_ci",
     f"""WITH {BALLOTS}, {PANEL}, i AS (SELECT country, row_number() OVER (ORDER BY country) - 1 AS place FROM labels), z AS (SELECT count(*) AS size FROM i),
-b AS (SELECT draw, i2.country AS node, count(*) AS times FROM (SELECT draw, CAST('0x' || substr(md5('boot:' || draw || ':' || place), 1, 8) AS BIGINT) % size AS pick FROM i, z, (SELECT unnest(range({DRAWS})) AS draw)) JOIN i i2 ON i2.place = pick GROUP BY ALL),
+b AS (SELECT draw, i2.country AS node, count(*) AS times FROM (SELECT draw, CAST('0x' || substr(md5('boot:' || draw || ':' || place), 1, 8) AS BIGINT) % size AS pick FROM i, z, (SELECT unnest(range({BOOTSTRAP_DRAWS})) AS draw)) JOIN i i2 ON i2.place = pick GROUP BY ALL),
 dy AS (SELECT voter, recipient, same, sum(gap) AS gap, count(*) AS n FROM panel GROUP BY ALL),
 w AS (SELECT x.draw, same, gap * x.times * y.times AS g, n * x.times * y.times AS n FROM dy JOIN b x ON x.node = voter JOIN b y ON y.node = recipient AND y.draw = x.draw),
 s AS (SELECT draw, sum(g) FILTER (WHERE same) / sum(n) FILTER (WHERE same) - sum(g) FILTER (WHERE NOT same) / sum(n) FILTER (WHERE NOT same) AS stat FROM w GROUP BY draw)
 SELECT {r6('quantile_cont(stat, 0.025)')} AS ci_low, {r6('quantile_cont(stat, 0.975)')} AS ci_high, count(*) AS n_draws FROM s WHERE stat IS NOT NULL""",
 )
 def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = inference.interval(inference.node_bootstrap(spark, panel_of(spark, sf_dir), labels(spark, sf_dir), DRAWS, "boot"))
+    own = inference.interval(inference.node_bootstrap(spark, panel_of(spark, sf_dir), labels(spark, sf_dir), BOOTSTRAP_DRAWS, "boot"))
     return own.select(rounded("ci_low").alias("ci_low"), rounded("ci_high").alias("ci_high"), "n_draws")
 
 
@@ -256,7 +257,7 @@ def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q52_mrqap_year_fe",
-    f"""WITH {BALLOTS}, {CAUSAL}, {perms('mrqap', DRAWS)}, o AS (SELECT year, voter, recipient, points - avg(points) OVER (PARTITION BY year) AS yd FROM causal),
+    f"""WITH {BALLOTS}, {CAUSAL}, {perms('mrqap', MRQAP_DRAWS)}, o AS (SELECT year, voter, recipient, points - avg(points) OVER (PARTITION BY year) AS yd FROM causal),
 y AS (SELECT x.draw, year, sum(CAST(x.label = z.label AS DOUBLE) * yd) AS xy, sum(CAST(x.label = z.label AS DOUBLE)) AS x, count(*) AS n FROM o JOIN perms x ON x.node = voter JOIN perms z ON z.node = recipient AND z.draw = x.draw GROUP BY ALL),
 c AS (SELECT draw, sum(xy) / nullif(sum(x - x * x / n), 0) AS c FROM y GROUP BY draw),
 d AS (SELECT yd, same_bloc - avg(same_bloc) OVER (PARTITION BY causal.year) AS xd FROM causal JOIN o USING (year, voter, recipient)), b AS (SELECT sum(xd * yd) / sum(xd * xd) AS b FROM d)
@@ -264,7 +265,7 @@ SELECT {r6('max(b)')} AS observed, {r6('(count(*) FILTER (WHERE abs(round(c, 9))
 )
 def q52(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = causal_of(spark, sf_dir)
-    null = regression.label_permutation_coefficients(spark, panel, labels(spark, sf_dir), DRAWS, "mrqap")
+    null = regression.label_permutation_coefficients(spark, panel, labels(spark, sf_dir), MRQAP_DRAWS, "mrqap")
     seen = regression.year_effects(panel).select(F.round("coefficient", 9).alias("b"))
     rows = null.select(F.round("coefficient", 9).alias("c")).crossJoin(F.broadcast(seen))
     return rows.agg(rounded(F.max("b")).alias("observed"), rounded(inference.two_sided_p(F.col("c"), F.col("b"))).alias("p_value"), F.count("c").alias("n_draws"))
@@ -273,6 +274,6 @@ def q52(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q52_mrqap_song_fe")
 def q52_song(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = written(causal_of(spark, sf_dir), "causal-panel")
-    null = regression.song_permutation_coefficients(spark, panel, labels(spark, sf_dir), DRAWS, "mrqap")
+    null = regression.song_permutation_coefficients(spark, panel, labels(spark, sf_dir), MRQAP_DRAWS, "mrqap")
     p = inference.two_sided_p(F.round("coefficient", 9), F.round("observed", 9))
     return null.agg(rounded(F.max("observed")).alias("observed"), rounded(p).alias("p_value"), F.count("coefficient").alias("n_draws"))

@@ -61,3 +61,8 @@ def free(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
             target, fs = _target(spark, path)
             fs.delete(target, True)
     _PATHS[since:] = [p for p in _PATHS[since:] if p in kept]
+
+
+def exists(df: DataFrame) -> bool:
+    """Whether a frame of ``written`` has not been removed."""
+    return getattr(df, "_written_at", None) in _PATHS

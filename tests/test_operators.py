@@ -242,3 +242,49 @@ def test_country_gazetteer(spark):
     got = df.select("title", "want", F.array_join(textmatch.names_in(F.col("title"), gazetteer.NAME_KEYS, gazetteer.FLAG_KEYS), ",").alias("got"), gazetteer.display_name(F.col("title")).alias("shown")).collect()
     assert [(r.title, r.want) for r in got] == [(r.title, r.got) for r in got]
     assert {r.title: r.shown for r in got}["bosnia & herzegovina"] == "Bosnia and Herzegovina"
+
+
+def test_als_over_cluster_is_the_same(spark, monkeypatch):
+    """Sums made over the cluster give the predictions of one task, for both models, with unknown names."""
+    monkeypatch.setattr(recommend, "ROUNDS", 2)
+    rng = np.random.default_rng(3)
+    cells = [(f"v{a}", f"e{b}", float(rng.integers(0, 13)), f"b{a}", f"r{b}", bool(rng.random() < 0.2)) for a in range(12) for b in range(15) if rng.random() < 0.7]
+    cells += [("new", "e1", 3.0, "bn", "r1", True), ("v1", "other", 3.0, "b1", "ro", True)]
+    frame = spark.createDataFrame(cells, "voter string, entry string, points double, ballot string, recipient string, is_test boolean")
+    train, test = frame.filter("NOT is_test"), frame.filter("is_test")
+    grid = spark.createDataFrame([("a", "mf", 3, 5.0, 0.0), ("b", "implicit", 2, 1.0, 0.5)], recommend.RUNS)
+    fitted = recommend.biases(train)
+    two = recommend.factor_predictions(train, test, fitted, grid, ["ballot", "recipient"], task_cells=0)
+    two = {(r.run, r.voter, r.entry): r.prediction for r in two.collect()}
+    frames = [recommend.bias_term(df, fitted).toPandas() for df in (recommend.aggregated(train), test)]
+    one = {(g.run, v, e): x for g in grid.collect() for v, e, x in zip(frames[1]["voter"], frames[1]["entry"], recommend._fit_one(frames[0].sort_values(["voter", "entry"]), frames[1], *g[1:]), strict=True)}
+    assert one.keys() == two.keys() and len(one) == 2 * test.count() and all(one[k] == pytest.approx(two[k], abs=1e-8) for k in one)
+    assert one["b", "new", "e1"] == one["b", "v1", "other"]  # the line at zero
+
+
+def test_constant_predictions_rank_at_random(spark):
+    """Places by points don't follow those by a constant prediction, and runs don't mix."""
+    cells = [(run, f"b{b}", f"r{k:02}", 12.0 if k < 2 else 0.0, 1.0) for run in ("x", "y") for b in range(60) for k in range(20)]
+    scored = spark.createDataFrame(cells, "run string, ballot string, recipient string, points double, prediction double")
+    got = recommend.evaluation(scored, 42, 5, "run").collect()
+    assert {r.run for r in got} == {"x", "y"} and all(r.n_ballots == 60 and 0.15 < r.precision < 0.35 for r in got)
+
+
+def test_repeated_splits_and_significance(spark):
+    """Each seed by itself gives what all seeds at once give; a model against itself has no difference."""
+    rng = np.random.default_rng(5)
+    cells = [(y, "jury", f"v{a}", f"r{b}", float(rng.integers(0, 13))) for y in (1, 2, 3) for a in range(5) for b in range(6)]
+    cells = spark.createDataFrame([(*c[2:], f"{c[0]} {c[3]}", f"{c[0]} {c[2]}", f"{c[0]} {c[2]}") for c in cells], "voter string, recipient string, points double, entry string, ballot string, voter_year string")
+    names = ["baseline_global_mean", "baseline_voter_mean", "bias_only_entry_quality", "matrix_factorization_als"]
+    every = recommend.model_predictions(recommend.splits(cells, [1, 2]), names, ("seed",))
+    every = {(r.seed, r.model, r.ballot, r.recipient): round(r.prediction, 9) for r in every.collect()}
+    for seed in (1, 2):
+        own = recommend.model_predictions(recommend.split(cells, seed), names).collect()
+        assert {(seed, r.model, r.ballot, r.recipient): round(r.prediction, 9) for r in own} == {k: v for k, v in every.items() if k[0] == seed}
+    scored = recommend.model_predictions(recommend.split(cells, 1), names)
+    tests = recommend.significance(scored, 1, comparisons=[("baseline_voter_mean", "baseline_voter_mean"), ("matrix_factorization_als", "baseline_voter_mean")]).collect()
+    assert len(tests) == 4 and all(r.mean_difference == 0 and r.t is None for r in tests if r.model == r.reference)
+    shown = {r.model: r for r in recommend.comparison(scored, 1).collect()}
+    assert set(shown) == set(names) and shown["matrix_factorization_als"].params == "n_factors=4, reg=20" and shown["baseline_global_mean"].n_ballots == 3
+    p = inference.with_student_p(spark.createDataFrame([(2.396, 105), (None, 5)], "t double, n long")).collect()
+    assert p[0].p_value == pytest.approx(0.0183, abs=1e-4) and p[1].p_value is None
