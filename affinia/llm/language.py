@@ -97,10 +97,11 @@ def fit(
 ) -> Centroids:
     """Fit centroids to at most ``per_language`` labelled documents of each language.
 
-    labelled: doc_id, text, lang. The sample of a language holds its documents of the smallest id hashes.
+    labelled: doc_id, text, lang. The sample of a language holds its documents of the smallest id hashes; equal
+    rows count once, and of rows that share an id those of the smallest text hashes come first.
     ``slack`` times the least similarity among a centroid's own documents is its rejection threshold.
     """
-    ids = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
     sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -110,12 +111,13 @@ def fit(
     shares = [(r[0], min(1.0, (1.5 * per_language + 100) / r[1])) for r in sizes]
     shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "s_lang string, share double"))
     place = (F.col("h") / float(2**63) + 1) / 2
-    ids = ids.join(shares, F.col("lang") == F.col("s_lang")).filter(place <= F.col("share")).select("doc_id", "lang", "h")
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = ids.join(shares, F.col("lang") == F.col("s_lang")).filter(place <= F.col("share")).select("doc_id", "lang", "h", "t").distinct()
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
     ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    pairs = [(r[0], r[1]) for r in ids.select("doc_id", "lang").distinct().collect()]
-    wanted = labelled.sparkSession.createDataFrame(pairs, "w_id long, w_lang string")
-    rows = labelled.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("lang") == F.col("w_lang")))
+    chosen = [tuple(r) for r in ids.select("doc_id", "lang", "t").collect()]
+    wanted = labelled.sparkSession.createDataFrame(chosen, "w_id long, w_lang string, w_text long")
+    same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("lang") == F.col("w_lang")) & (F.xxhash64("text") == F.col("w_text"))
+    rows = labelled.join(F.broadcast(wanted), same).dropDuplicates(["w_id", "w_lang", "w_text"])
 
     def count(it) -> Iterator:
         import pyarrow as pa

@@ -61,6 +61,10 @@ def test_token_counts(spark, tables):
     got = {r[0]: tuple(r)[1:] for r in QUERIES["op1_token_counts"](spark, tables[0]).collect()}
     for i, text in docs:
         assert got[i] == (len(text.split()), sum(greedy("▁" + w, pieces) for w in text.split()), len(text))
+    longest = " ".join(rng_word for rng_word in (random.Random(5).choices("abcdefgh", k=9)))
+    more = token_counts.count_tokens(frame(spark, [(1, "hello " * 300_000, 3), (None, longest, 4)], DOCS + ", n_tokens int")).collect()
+    assert more[0].n_tokens == 300_000 * greedy("▁hello", pieces) and more[1].n_tokens == sum(greedy("▁" + w, pieces) for w in longest.split())
+    assert token_counts.count_tokens(frame(spark, [])).count() == 0
     edge = token_counts.count_tokens(frame(spark, EDGES)).collect()
     assert [tuple(r)[1:] for r in edge[:3]] == [(0, 0, 0), (0, 0, 0), (0, 0, 4)] and len(edge) == len(EDGES)
 
@@ -93,6 +97,41 @@ def test_quality(spark, tables):
     assert quality.quality_rules(frame(spark, []), frame(spark, [], "doc_id long")).count() == 0
 
 
+def test_quality_verdict(spark):
+    """Scores and verdicts against the ratio worked out by hand: words and pairs of words hashed, all documents
+    against the first half of the trusted ones, the threshold from the other half."""
+    import xxhash
+
+    rng = random.Random(7)
+    docs = [(k, " ".join(rng.choice(["good", "clean", "fine", "text"] if k < 30 else ["bad", "junk", "text", "zq"]) + str(rng.randrange(40)) for _ in range(60 + k))) for k in range(60)] + [(61, None), (5, "x")]
+    got = sorted((tuple(r) for r in quality.quality_rules(frame(spark, [(*d, 1.0, 2) for d in docs], DOCS + ", score double, bucket int"), frame(spark, [(k,) for k in range(30)] + [(3,)], "doc_id long"), buckets=1 << 10, keep_share=0.9).collect()), key=str)
+    order = {r.doc_id: k for k, r in enumerate(frame(spark, [(k,) for k in range(30)], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect())}
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        own = [xxhash.xxh3_64_intdigest(w.encode()) for w in (text or "").split()]
+        mix = lambda x: (x * 0x9E3779B97F4A7C15 & mask) >> 54
+        return [mix(x) for x in own] + [mix(3 * a + b & mask) for a, b in zip(own, own[1:])]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, text in docs:
+        raw.update(grams(text))
+        if i in order and order[i] % 2 == 0:
+            target.update(grams(text))
+    a, b = sum(raw.values()) + 1024, sum(target.values()) + 1024
+    score = lambda text: np.mean([np.log((target[g] + 1) / b) - np.log((raw[g] + 1) / a) for g in grams(text)]) if text else None
+    held = sorted(score(text) for i, text in docs if i in order and order[i] % 2)
+    least = held[int(len(held) * (1 - 0.9))]
+    want = []
+    for i, text in docs:
+        base = base_counts(text or "")
+        x = score(text)
+        want.append((i, *base, not base[-1] and x is not None and x >= least - 1e-12, x))
+    want.sort(key=str)
+    assert sorted((str(r[0]), r[1:8]) for r in got) == sorted((str(r[0]), r[1:8]) for r in want)
+    assert sorted(r[8] for r in got if r[8] is not None) == pytest.approx(sorted(r[8] for r in want if r[8] is not None))
+
+
 # ---- 3 chat
 
 
@@ -495,6 +534,47 @@ def test_language(spark, tables):
     assert none[0].lang_pred == "und" and language.detect_language(frame(spark, [], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    """Predictions, scores and rejections from centroids that are worked out here, by the sample's rule."""
+    rng = random.Random(1)
+    words = {"aa": "alpha beta gamma delta", "bb": "uno dos tres cuatro cinco", "cc": "один два три четыре"}
+    docs = [(k, " ".join(rng.choice(words[lang].split()) for _ in range(5 + k % 9)), lang) for k in range(90) for lang in [list(words)[k % 3]]]
+    docs += [docs[0], docs[0], (300, "zzzz qqqq xxxx wwww", None), (301, "12 34", "aa"), (None, "alpha beta", "aa"), (302, "Ω", None)]
+    size = 1 << 10
+    schema = "doc_id long, text string, lang string"
+    got = {(r.doc_id, r.held_out, r.lang_pred, round(r.score, 9), r.rejected) for r in language.detect_language(frame(spark, [(*d, 1.0, "x") for d in docs], schema + ", score double, lang_pred string"), per_language=12, size=size, k=1).collect()}
+    hashes = {r[0]: r[1] for r in frame(spark, [(k,) for k in range(90)], "doc_id long").select("doc_id", F.xxhash64("doc_id")).collect()}
+    train = [d for d in docs[:90] if zlib.crc32(str(d[0]).encode()) % 3 != 1]
+    sample = {lang: [d[1] for d in sorted((d for d in train if d[2] == lang), key=lambda d: hashes[d[0]])[:12]] for lang in words}
+
+    def dense(text):
+        out = np.zeros(size)
+        found = language.gram_counts(text, size)
+        if found is None:
+            return None
+        out[found[0]] = 1 + np.log(found[1])
+        return out
+
+    every = [dense(x) for own in sample.values() for x in own]
+    idf = np.log((1 + len(every)) / (1 + sum((x > 0).astype(float) for x in every))) + 1
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
+    centres = {lang: unit(sum(unit(dense(x) * idf) for x in own)) for lang, own in sample.items()}
+    floors = {lang: 0.3 * min(unit(dense(x) * idf) @ centres[lang] for x in own) for lang, own in sample.items()}
+    want = set()
+    for i, text, _ in docs:
+        held = i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+        if dense(text) is None:
+            want.add((i, held, "und", 0.0, True))
+            continue
+        near = {lang: unit(dense(text) * idf) @ c for lang, c in centres.items()}
+        best = max(near, key=near.get)
+        want.add((i, held, best, float(near[best]), bool(near[best] < floors[best])))
+    key = lambda r: (str(r[0]), r[1:3], r[4])
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert [r[3] for r in sorted(got, key=str)] == pytest.approx([r[3] for r in sorted(want, key=str)], abs=1e-6)
+    assert any(r[4] for r in want if r[0] == 302)
+
+
 def test_long_text_counts_alike():
     text = "".join(random.Random(3).choice("abcd é1 ") for _ in range(3_000_000))
     used, count = language.gram_counts(text, 4096)
