@@ -75,7 +75,7 @@ def match_threshold(coordinates: int, width: int, similarity: float, miss: float
 def _word_memo() -> Memo:
     import xxhash
 
-    return Memo(xxhash.xxh3_64_intdigest)
+    return Memo(xxhash.xxh3_64_intdigest, 100_000)  # hashing is fast; a worker's memory counts for more
 
 
 def sketches(docs: DataFrame, shingle: int, coordinates: int, width: int) -> DataFrame:
