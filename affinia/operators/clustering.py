@@ -171,11 +171,9 @@ def bloc_overlap(labels: DataFrame, blocs: DataFrame) -> DataFrame:
     return met.join(F.broadcast(sizes), "bloc").select("label", "bloc", "n", "bloc_size", (F.col("n") / F.col("bloc_size")).alias("share"))
 
 
-def families(labels: DataFrame, literal: bool = True) -> DataFrame:
-    """The family of each cluster: one for all, as the published results have it."""
-    if not literal:
-        raise NotImplementedError("use cluster() on distances between clusters")
-    return labels.select("label").distinct().withColumn("family", F.lit(0))
+def families(labels: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., label, family): the coarse family of each cluster, which as published is one for all."""
+    return labels.select(*keys, "label").distinct().withColumn("family", F.lit(1))
 
 
 def first_best(curve: DataFrame, keys: list[str]) -> DataFrame:

@@ -109,7 +109,8 @@ def ordered(names: list[str], labels: np.ndarray) -> np.ndarray:
 
 
 def louvain_best(spark: SparkSession, edges: DataFrame, key: str, seeds: int = 30) -> DataFrame:
-    """(key, country, community_id, q, min_q): the best of many seeded runs, each its own task."""
+    """(key, country, community_id, q, min_q): the best of many seeded runs, each its own task, which holds the
+    matrix of a graph of nations (some hundred nodes, however many votes there are)."""
     runs = edges.crossJoin(F.broadcast(spark.range(7, 7 + seeds).select(F.col("id").cast("int").alias("seed"))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -190,6 +191,8 @@ def girvan_newman(w: np.ndarray, levels: int = 12) -> tuple[np.ndarray, float]:
 
 
 def girvan_newman_best(edges: DataFrame, key: str, levels: int = 12) -> DataFrame:
+    """(key, country, community_id, q): the best of the first levels, a task for each graph of nations."""
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, w = _adjacency(pdf)
         labels, q = girvan_newman(w, levels)

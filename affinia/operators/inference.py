@@ -70,6 +70,20 @@ def dispersion_null(spark: SparkSession, panel: DataFrame, labels: DataFrame, n:
     return _dispersion(own, ["draw"], value, least).filter("sd IS NOT NULL")
 
 
+def dispersion_test(spark: SparkSession, panel: DataFrame, labels: DataFrame, n: int, seed: str, value: str = "gap", least: int = 1) -> DataFrame:
+    """(observed, null_mean, p_value, n_draws) of the dispersion against relabelled countries."""
+    seen = F.broadcast(dispersion(panel, value, least).select(F.col("sd").alias("o")))
+    null = dispersion_null(spark, panel, labels, n, seed, value, least).crossJoin(seen)
+    p = upper_p(F.round("sd", 9), F.round("o", 9))
+    return null.agg(F.max("o").alias("observed"), F.avg("sd").alias("null_mean"), p.alias("p_value"), F.count("sd").alias("n_draws"))
+
+
+def quantities(row: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(quantity, value) of one row: what each quantity is called, and its column."""
+    pairs = F.array(*(F.struct(F.lit(q).alias("quantity"), F.col(c).cast("double").alias("value")) for q, c in names.items()))
+    return row.select(F.explode(pairs).alias("x")).select("x.*")
+
+
 def naive_null(spark: SparkSession, panel: DataFrame, n: int, seed: str, value: str = "gap") -> DataFrame:
     """(draw, stat): rows are shuffled, which ignores how dyads depend on each other."""
     rows = panel.select(F.concat_ws("|", F.col("year").cast("string"), "voter", "recipient").alias("row"), value, "same")

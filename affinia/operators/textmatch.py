@@ -45,14 +45,15 @@ def artist_index(entries: DataFrame) -> DataFrame:
 
 def artist_matches(posts: DataFrame, index: DataFrame) -> DataFrame:
     """(slug, artist_names): countries by full artist name in the title, else by a token that only one
-    country has that year. posts: slug, year, title. An equi-join on the year, then the text condition."""
+    country has that year. posts: slug, year, title. An equi-join on the year, then the text condition; small
+    indexes are broadcast by their statistics."""
     title = F.lower("title")
-    full = posts.join(F.broadcast(index), "year").filter((F.col("full_name") != "") & title.contains(F.lower("full_name")))
+    full = posts.join(index, "year").filter((F.col("full_name") != "") & title.contains(F.lower("full_name")))
     full = full.groupBy("slug").agg(F.array_sort(F.collect_set("country")).alias("full"))
     tokens = index.select("year", "country", F.explode("tokens").alias("token")).groupBy("year", "token")
     tokens = tokens.agg(F.count_distinct("country").alias("k"), F.min("country").alias("country")).filter("k = 1")
     words = posts.select("slug", "year", F.explode(F.array_distinct(F.split(title, r"[^\p{L}\p{N}_]+"))).alias("token"))
-    part = words.join(F.broadcast(tokens), ["year", "token"]).groupBy("slug").agg(F.array_sort(F.collect_set("country")).alias("part"))
+    part = words.join(tokens, ["year", "token"]).groupBy("slug").agg(F.array_sort(F.collect_set("country")).alias("part"))
     return full.join(part, "slug", "full").select("slug", F.coalesce("full", "part").alias("artist_names"))
 
 

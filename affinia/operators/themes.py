@@ -41,7 +41,7 @@ def twelve_flags(songs: DataFrame, votes: DataFrame) -> DataFrame:
     flags = twelves.groupBy("year", "country").agg(
         F.max((F.col("points_type") == "jury").cast("int")).alias("jury12"), F.max((F.col("points_type") == "televote").cast("int")).alias("public12")
     )
-    return songs.join(F.broadcast(flags), ["year", "country"], "left").na.fill(0, ["jury12", "public12"])
+    return songs.join(flags, ["year", "country"], "left").na.fill(0, ["jury12", "public12"])
 
 
 def distribution(rows: DataFrame, themes: DataFrame) -> DataFrame:

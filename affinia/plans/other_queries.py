@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from affinia.functions import gazetteer
 from affinia.functions.numeric import format_p, rounded
 from affinia.functions.render import markdown_lines
-from affinia.operators import grids, inference, partitions, recommend, regression, textmatch, themes
+from affinia.operators import clustering, grids, inference, partitions, recommend, regression, textmatch, themes
 from affinia.plans.base import BALLOTS, ballots, query, r6
 from affinia.sources.shared import written
 from affinia.sources.tables import entries, stacked, table
@@ -283,6 +283,15 @@ _WINDOW_SQL = """w AS (SELECT * FROM (VALUES ('full', 0), ('jury', 2), ('televot
 f AS (SELECT win, n_name AS country, n_regionkey AS fine FROM nation, w WHERE n_nationkey >= k), g AS (SELECT win, n_name AS country, (n_nationkey + k) % 3 AS coarse FROM nation, w WHERE n_nationkey < 25 - k)"""
 
 
+def _window_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(win, country, fine) and (win, country, coarse)."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("country"), "n_nationkey", "n_regionkey")
+    win = nation.withColumn("w", F.explode(F.array(*(F.struct(F.lit(w).alias("win"), F.lit(k).alias("k")) for w, k in (("full", 0), ("jury", 2), ("televote", 4))))))
+    key, k = F.col("n_nationkey"), F.col("w.k")
+    fine = win.filter(key >= k).select("w.win", "country", F.col("n_regionkey").alias("fine"))
+    return fine, win.filter(key < 25 - k).select("w.win", "country", ((key + k) % 3).alias("coarse"))
+
+
 @query(
     "q68_window_agreement",
     f"""WITH {_WINDOW_SQL}, s AS (SELECT win, country, fine, coarse FROM f JOIN g USING (win, country)), c AS (SELECT win, fine AS a, coarse AS b, count(*) AS n FROM s GROUP BY ALL),
@@ -294,11 +303,8 @@ UNION ALL SELECT 'fine_only', win, CAST(count(*) AS DOUBLE) FROM f ANTI JOIN g U
 UNION ALL SELECT 'repeat_misfits', 'all', CAST(count(*) AS DOUBLE) FROM x WHERE times >= 2 UNION ALL SELECT 'purity_high_everywhere', 'all', CAST(bool_and(purity >= 0.5) AS DOUBLE) FROM p""",
 )
 def q68(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("country"), "n_nationkey", "n_regionkey")
-    win = nation.withColumn("w", F.explode(F.array(*(F.struct(F.lit(w).alias("win"), F.lit(k).alias("k")) for w, k in (("full", 0), ("jury", 2), ("televote", 4))))))
-    key, k = F.col("n_nationkey"), F.col("w.k")
-    fine = win.filter(key >= k).select("w.win", "country", F.col("n_regionkey").alias("fine"))
-    coarse = win.filter(key < 25 - k).select("w.win", "country", ((key + k) % 3).alias("coarse"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("country"))
+    fine, coarse = _window_labels(spark, sf_dir)
     shared = fine.join(coarse, ["win", "country"])
     purity = partitions.purity(partitions.contingency(shared, "fine", "coarse", "win"), "win")
     wrong = partitions.misfits(shared, "country", "fine", "coarse", "win").groupBy("country").agg(F.count(F.lit(1)).alias("times"))
@@ -313,6 +319,23 @@ def q68(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "q68_matched_families",
+    f"""WITH {_WINDOW_SQL}, s AS (SELECT win, country, coarse FROM f JOIN g USING (win, country)), c AS (SELECT win, coarse, count(*) AS n FROM s GROUP BY ALL)
+SELECT win, CAST(sum(n) AS BIGINT) AS n_shared, 1 AS n_families, count(*) AS n_coarse, CAST(0 AS DOUBLE) AS ari, CAST(0 AS DOUBLE) AS nmi, {r6('max(n) / sum(n)')} AS purity, CAST(sum(n) - max(n) AS BIGINT) AS n_exceptions FROM c GROUP BY win""",
+)
+def q68_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window's fine clusters as families against its coarse communities."""
+    fine, coarse = _window_labels(spark, sf_dir)
+    kin = clustering.families(fine.withColumnRenamed("fine", "label"), "win").withColumnRenamed("label", "fine")
+    shared = fine.join(coarse, ["win", "country"]).join(F.broadcast(kin), ["win", "fine"])
+    cells = partitions.contingency(shared, "family", "coarse", "win")
+    wrong = partitions.misfits(shared, "country", "family", "coarse", "win").groupBy("win").agg(F.count(F.lit(1)).alias("wrong"))
+    sizes = shared.groupBy("win").agg(F.count(F.lit(1)).alias("n_shared"), F.count_distinct("family").cast("int").alias("n_families"), F.count_distinct("coarse").alias("n_coarse"))
+    own = sizes.join(partitions.agreement(cells, "win"), "win").join(partitions.purity(cells, "win"), "win").join(wrong, "win", "left")
+    return own.select("win", "n_shared", "n_families", "n_coarse", *(rounded(c).alias(c) for c in ("ari", "nmi", "purity")), F.coalesce("wrong", F.lit(0)).alias("n_exceptions"))
+
+
 #: A small gazetteer over the invented words of the documents: name to key.
 GAZETTEER = {"the of": "of_the", "and the": "and_the", "de la": "de_la", "le la": "le_la", "und": "und", "the": "the", "token": "token"}
 #: Doubled separators let a pattern without lookaround take neighbouring names.

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinia.functions.numeric import rounded
+from affinia.functions.numeric import format_p, rounded
 from affinia.operators import grids, inference, regression, similarity
-from affinia.plans.base import BALLOTS, PANEL, ballots, perms, query, r6, split_ballots
+from affinia.plans.base import BALLOTS, ORACLES, PANEL, ballots, perms, query, r6, split_ballots
 from affinia.sources.shared import written
-from affinia.sources.tables import entries, labels
+from affinia.sources.tables import entries, labels, stacked
 
 #: The published numbers of draws of each test.
 QAP_DRAWS, BOOTSTRAP_DRAWS, NAIVE_DRAWS, MRQAP_DRAWS = 20_000, 5_000, 2_000, 2_000
@@ -108,11 +108,8 @@ om AS (SELECT from_label, sum(gap) AS s, count(*) AS n FROM panel WHERE same GRO
 SELECT {r6('max(o)')} AS observed, {r6('avg(sd)')} AS null_mean, {r6('(count(*) FILTER (WHERE round(sd, 9) >= round(o, 9)) + 1) / (count(*) + 1)')} AS p_value, count(*) AS n_draws FROM d, o WHERE sd IS NOT NULL""",
 )
 def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = panel_of(spark, sf_dir)
-    seen = inference.dispersion(panel).select(F.col("sd").alias("o"))
-    null = inference.dispersion_null(spark, panel, labels(spark, sf_dir), QAP_DRAWS, "disp").crossJoin(F.broadcast(seen))
-    p = inference.upper_p(F.round("sd", 9), F.round("o", 9))
-    return null.agg(rounded(F.max("o")).alias("observed"), rounded(F.avg("sd")).alias("null_mean"), rounded(p).alias("p_value"), F.count("sd").alias("n_draws"))
+    own = inference.dispersion_test(spark, panel_of(spark, sf_dir), labels(spark, sf_dir), QAP_DRAWS, "disp")
+    return own.select(*(rounded(c).alias(c) for c in ("observed", "null_mean", "p_value")), "n_draws")
 
 
 @query(
@@ -148,6 +145,65 @@ def q42(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.cliffs_delta(panel_of(spark, sf_dir)).withColumn("delta", rounded("delta"))
 
 
+def _bootstrap_sql(value: str) -> str:
+    return ORACLES["q41_node_bootstrap_ci"].replace("sum(gap) AS gap, count(*) AS n FROM panel GROUP BY ALL),\nw AS", f"sum({value}) AS gap, count(*) AS n FROM panel GROUP BY ALL),\nw AS")
+
+
+def _least_sql(least: int) -> str:
+    """The dispersion test for labels of so many dyads at least."""
+    own = ORACLES["q39_qap_dispersion"].replace("WHERE x.label = y.label GROUP BY ALL)", f"WHERE x.label = y.label GROUP BY ALL HAVING sum(n) >= {least})")
+    return own.replace("FROM panel WHERE same GROUP BY ALL), og", f"FROM panel WHERE same GROUP BY ALL HAVING count(*) >= {least}), og")
+
+
+_PAIR = ("gap", "top_gap")
+_TESTED = {
+    "tests": ORACLES["q38_qap_test"], "panel_rows": ORACLES["q32_gap_panel"], "spread": ORACLES["q39_qap_dispersion"], "spread20": _least_sql(20),
+    "naive": ORACLES["q40_naive_permutation"], "cliff": ORACLES["q42_cliffs_delta"], **{f"boot_{v}": _bootstrap_sql(v) for v in _PAIR},
+}
+_RESULTS = f"WITH {', '.join(f'{name} AS MATERIALIZED ({sql})' for name, sql in _TESTED.items())} " + " UNION ALL ".join(
+    [f"SELECT '{name}_{v}' AS quantity, {column} AS value FROM tests WHERE outcome = '{v}'" for name, column in (("observed_T", "observed"), ("qap_p", "p_value"), ("qap_null_sd", "null_sd")) for v in _PAIR]
+    + [f"SELECT 'bootstrap_{side}_{v}', {side} FROM boot_{v}" for side in ("ci_low", "ci_high") for v in _PAIR]
+    + [f"SELECT '{name}', {column} FROM spread" for name, column in (("bloc_dispersion_observed", "observed"), ("bloc_dispersion_null_mean", "null_mean"), ("bloc_dispersion_p", "p_value"))]
+    + [f"SELECT '{name}', {column} FROM spread20" for name, column in (("bloc_dispersion_observed_min20", "observed"), ("bloc_dispersion_p_min20", "p_value"))]
+    + [
+        f"SELECT 'naive_permutation_p_gap', {r6('(count(*) FILTER (WHERE abs(round(stat, 6)) >= abs(round(observed, 6))) + 1) / (count(*) + 1)')} FROM naive, (SELECT observed FROM tests WHERE outcome = 'gap')",
+        "SELECT 'cliffs_delta_gap', delta FROM cliff",
+        "SELECT 'mde_80pct_power_gap', mde FROM tests WHERE outcome = 'gap'",
+        "SELECT 'n_dyad_years', CAST(count(*) AS DOUBLE) FROM panel_rows",
+        "SELECT 'n_countries', CAST(count(*) AS DOUBLE) FROM (SELECT voter FROM panel_rows UNION SELECT recipient FROM panel_rows)",
+        f"SELECT 'n_permutations', {QAP_DRAWS}.0",
+    ]
+)
+
+
+@query("q38_results_table", _RESULTS)
+def q38_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests of the panel as one table of quantities and values."""
+    panel, own = written(panel_of(spark, sf_dir), "panel"), labels(spark, sf_dir)
+    null = written(inference.label_null(spark, panel, own, QAP_DRAWS, "qap", *_PAIR), "null")
+    seen = inference.observed(panel, *_PAIR)
+    tests = {v: inference.permutation_test(null, seen.filter(F.col("value") == v), v) for v in _PAIR}
+    parts = [inference.quantities(tests[v], {f"observed_T_{v}": "observed", f"qap_p_{v}": "p_value", f"qap_null_sd_{v}": "null_sd"}) for v in _PAIR]
+    parts += [inference.quantities(inference.interval(inference.node_bootstrap(spark, panel, own, BOOTSTRAP_DRAWS, "boot", v)), {f"bootstrap_ci_low_{v}": "ci_low", f"bootstrap_ci_high_{v}": "ci_high"}) for v in _PAIR]
+    for least, end in ((1, ""), (20, "_min20")):
+        spread = inference.dispersion_test(spark, panel, own, QAP_DRAWS, "disp", "gap", least)
+        names = {f"bloc_dispersion_observed{end}": "observed", f"bloc_dispersion_null_mean{end}": "null_mean", f"bloc_dispersion_p{end}": "p_value"}
+        parts.append(inference.quantities(spread, {k: c for k, c in names.items() if not end or c != "null_mean"}))
+    naive = inference.naive_null(spark, panel, NAIVE_DRAWS, "naive").crossJoin(F.broadcast(seen.filter("value = 'gap'").select("observed")))
+    parts.append(inference.quantities(naive.agg(inference.two_sided_p(F.round("stat", 6), F.round("observed", 6)).alias("p")), {"naive_permutation_p_gap": "p"}))
+    parts.append(inference.quantities(inference.cliffs_delta(panel), {"cliffs_delta_gap": "delta"}))
+    parts.append(inference.quantities(tests["gap"], {"mde_80pct_power_gap": "mde"}))
+    nodes = panel.select(F.explode(F.array("voter", "recipient")).alias("node")).agg(F.count_distinct("node").alias("n"))
+    parts += [inference.quantities(panel.agg(F.count(F.lit(1)).alias("n")), {"n_dyad_years": "n"}), inference.quantities(nodes, {"n_countries": "n"})]
+    parts.append(spark.createDataFrame([("n_permutations", float(QAP_DRAWS))], "quantity string, value double"))
+    return stacked(*parts).select("quantity", rounded("value").alias("value"))
+
+
+@query("q38_shown_p", f"SELECT outcome, CASE WHEN p_value <= 1.0 / {QAP_DRAWS + 1} THEN printf('< %.5f', 1.0 / {QAP_DRAWS + 1}) ELSE printf('%.4f', p_value) END AS shown FROM ({ORACLES['q38_qap_test']})")
+def q38_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q38(spark, sf_dir).select("outcome", format_p(F.col("p_value"), QAP_DRAWS).alias("shown"))
+
+
 # ---- features of entries
 
 _ACC, _PLAIN = "éóèñüçäöêíáúàâîôûëïÉÓÈÑÜÇÄÖÊÍÁÚÀÂÎÔÛËÏ", "eoenucaoeiauaaioueiEOENUCAOEIAUAAIOUEI"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from affinia.functions.text import lookup
+
 #: The points a ballot may give, and the kinds of ballots.
 VALID_POINTS = [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0]
 KINDS = {"N": "combined", "A": "jury", "R": "televote"}
@@ -34,6 +36,24 @@ def read_votes(spark: SparkSession, paths: list[str], schema: T.StructType = VOT
     return out
 
 
+def read_labels(spark: SparkSession, path: str, label: str = "label", country: str = "country") -> DataFrame:
+    """(country, label) of a file of labels; rows without a number as the label go."""
+    df = read_csv(spark, path)
+    return df.select(F.col(country).alias("country"), F.expr(f"try_cast(`{label}` AS int)").alias("label")).filter("label IS NOT NULL")
+
+
+def read_window_labels(spark: SparkSession, paths: dict[str, str], label: str = "label") -> DataFrame:
+    """(window, country, label) of one file of labels for each window."""
+    return stacked(*(read_labels(spark, path, label).select(F.lit(w).alias("window"), "country", "label") for w, path in paths.items()))
+
+
+def read_long_labels(spark: SparkSession, path: str, window: str = "window", label: str = "label", names: dict[str, str] | None = None) -> DataFrame:
+    """(window, country, label) of one file for all windows; names are replaced as given, so that files agree."""
+    df = read_csv(spark, path)
+    country = lookup(names, F.col("country"), F.col("country")) if names else F.col("country")
+    return df.select(F.col(window).alias("window"), country.alias("country"), F.expr(f"try_cast(`{label}` AS int)").alias("label")).filter("label IS NOT NULL")
+
+
 def read_wide_features(spark: SparkSession, path: str, first: int) -> DataFrame:
     """A CSV file whose columns from number ``first`` on (0-based) become one array column ``features``."""
     df = read_csv(spark, path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinia.llm import decontaminate, language, near_dups, packing, pii
-from affinia.llm.common import documents, table, tokenizer_path, written
+from affinia.llm.common import documents, free, mark, table, tokenizer_path, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,8 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written and read again."""
+    """Apply the stages to documents, each written and read again; what a stage needed goes then."""
     docs = documents(spark, sf_dir)
+    begin = mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        free(spark, begin, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -288,3 +288,67 @@ def test_repeated_splits_and_significance(spark):
     assert set(shown) == set(names) and shown["matrix_factorization_als"].params == "n_factors=4, reg=20" and shown["baseline_global_mean"].n_ballots == 3
     p = inference.with_student_p(spark.createDataFrame([(2.396, 105), (None, 5)], "t double, n long")).collect()
     assert p[0].p_value == pytest.approx(0.0183, abs=1e-4) and p[1].p_value is None
+
+
+def _line(points, **fixed):
+    names = [f"n{k}" for k in range(len(points))]
+    return [(*fixed.values(), a, b, abs(x - y)) for a, x in zip(names, points) for b, y in zip(names, points) if a != b]
+
+
+def test_curve_and_fixed_number_of_clusters(spark):
+    """Points on a line in two far groups, by hand: {0, 1}, {10, 11, 12} and the curve around it."""
+    points, kinds = [0.0, 1.0, 10.0, 11.0, 12.0], ", ".join(["metric string", "method string", "a string", "b string", "dist double"])
+    dist = spark.createDataFrame(_line(points, metric="m", method="average") + _line(points, metric="m", method="complete"), kinds)
+    curve = {(r.method, r.k): r for r in clustering.silhouette_curve(dist, ["metric", "method"], range(2, 5), "method").collect()}
+    d = np.abs(np.subtract.outer(points, points))
+    s = [1 - 1 / (10 + 11 + 12) * 3, 1 - 1 / (9 + 10 + 11) * 3, 1 - 1.5 / 9.5, 1 - 1 / 10.5, 1 - 1.5 / 11.5]
+    for method in ("average", "complete"):
+        two = curve[method, 2]
+        assert (two.n_clusters, two.largest_cluster, two.singletons) == (2, 3, 0) and two.silhouette == pytest.approx(sum(s) / 5)
+        assert (curve[method, 4].n_clusters, curve[method, 4].singletons) == (4, 3)
+        assert clustering.silhouette(d, np.array([0, 0, 1, 1, 1])) == pytest.approx(two.silhouette)
+    best = clustering.first_best(clustering.silhouette_curve(dist, ["metric", "method"], range(2, 5), "method"), ["metric", "method"]).collect()
+    assert [r.k for r in best] == [2, 2]
+    held = clustering.cluster(dist.filter("method = 'average'").withColumn("window", F.lit("holdout")), ["window"], fixed_k=2).collect()
+    groups = {}
+    for r in held:
+        groups.setdefault(r.cluster_id, set()).add(r.country)
+    assert sorted(map(sorted, groups.values())) == [["n0", "n1"], ["n2", "n3", "n4"]] and {r.k for r in held} == {2}
+
+
+def test_attenuation_by_hand(spark):
+    rows_ = spark.createDataFrame([("M1", "same_bloc", 4.0), ("M2", "same_bloc", 3.0), ("M2", "theme_z", 9.0), ("M3", "same_bloc", 5.0)], "model string, term string, coefficient double")
+    assert {r.model: r.ratio for r in regression.attenuation(rows_, "M1").collect()} == {"M1": 0.0, "M2": 0.25, "M3": -0.25}
+
+
+def test_score_regression_of_a_line(spark):
+    """An exact linear score is found with its coefficients, without an error on the rows kept aside."""
+    data = [(k, float(k % 7), float(k % 5), 2.0 * (k % 7) - 3.0 * (k % 5) + 1.0) for k in range(200)]
+    got = {r.term: r for r in regression.score_regression(spark.createDataFrame(data, "id long, x double, y double, score double"), ["x", "y"], "score").collect()}
+    assert [got[t].coefficient for t in ("x", "y", "intercept")] == pytest.approx([2.0, -3.0, 1.0], abs=1e-6)
+    assert got["x"].mse == pytest.approx(0, abs=1e-9) and got["x"].r2 == pytest.approx(1)
+
+
+def test_free_removes_tables(spark):
+    from affinia.plans import base
+    from affinia.sources import shared
+
+    begin = shared.mark()
+    one, two = (shared.written(spark.range(3).toDF("x"), "test") for _ in range(2))
+    shared.free(spark, begin, two)
+    assert not shared.exists(one) and shared.exists(two) and two.count() == 3 and shared.mark() == begin + 1
+    shared.free(spark, begin)
+    with pytest.raises(Exception, match="PATH|exist"):
+        spark.read.parquet(two._written_at)
+    base.forget()
+    assert base._FACTS == {}
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from affinia.sources import shared
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(session)
