@@ -106,5 +106,5 @@ def q80(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "region").join(nation, "r_regionkey")
     path = scratch(spark, "report")
     write_lines(report_lines("Regions", [("Sizes", rows.select("r_regionkey", "nations"), ["r_regionkey"]), ("Names", rows.select("r_name"), ["r_name"])]), path)
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\n")).alias("k", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("k", "line"))
     return whole.select((F.col("k") + 1).alias("line_no"), "line")
