@@ -164,8 +164,9 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
 
     score is the cosine similarity to the nearest centroid. A null text, one without a letter, and every
     text if nothing was learned is ``und`` with score 0, rejected. A text farther from its nearest centroid
-    than the centroid's threshold keeps its prediction and is rejected. Each input row gives one output
-    row; an empty table gives none. Other columns are ignored.
+    than the centroid's threshold keeps its prediction and is rejected. Equally near centroids count in the order
+    of their languages. Each input row gives one output row; an empty table gives none. Other columns are
+    ignored.
     """
 
     def rows(it) -> Iterator:
