@@ -352,3 +352,33 @@ def test_no_machine_local_folder_on_a_cluster():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
         shared.shared_dir(session)
+
+
+@pytest.mark.parametrize("song", [False, True])
+def test_absorbed_effects_are_those_of_dummies(song):
+    """Coefficients, clustered errors and fit against least squares with a dummy for each effect."""
+    rng = np.random.default_rng(4)
+    rows_ = [(y, f"v{a}", f"r{b}") for y in (1, 2, 3) for a in range(6) for b in range(6) if a != b and rng.random() < 0.8]
+    pdf = pd.DataFrame(rows_, columns=["year", "voter", "recipient"])
+    pdf["to_year"] = pdf["recipient"] + "_" + pdf["year"].astype(str)
+    for c in ("same_bloc", "theme_z"):
+        pdf[c] = rng.normal(size=len(pdf)).round(2)
+    pdf["points"] = 2 * pdf["same_bloc"] + rng.normal(size=len(pdf)) + pdf["year"]
+    got = regression.least_squares(pdf, "points", ["same_bloc", "theme_z", "same_bloc:theme_z"], song)
+    effects = [pd.get_dummies(pdf[c], dtype=float).to_numpy() for c in (("to_year", "voter") if song else ("year",))]
+    x = np.column_stack([pdf["same_bloc"], pdf["theme_z"], pdf["same_bloc"] * pdf["theme_z"], *effects])
+    y = pdf["points"].to_numpy()
+    inverse = np.linalg.pinv(x.T @ x)
+    beta = inverse @ x.T @ y
+    u, n, rank = y - x @ beta, len(y), np.linalg.matrix_rank(x)
+    assert rank == 3 + regression.Effects(*(pdf[c] for c in (("to_year", "voter") if song else ("year",)))).rank
+
+    def meat(groups):
+        s = pd.DataFrame(x * u[:, None]).groupby(np.asarray(groups)).sum().to_numpy()
+        return s.T @ s * len(s) / (len(s) - 1) * (n - 1) / (n - rank)
+
+    v = np.diag(inverse @ (meat(pdf["voter"]) + meat(pdf["recipient"]) - meat(pdf["voter"] + pdf["recipient"])) @ inverse)
+    for k in range(3):
+        assert got["coefficient"][k] == pytest.approx(beta[k])
+        assert (pd.isna(got["std_error"][k]) and v[k] <= 0) or got["std_error"][k] == pytest.approx(math.sqrt(v[k]))
+    assert got["r2"][0] == pytest.approx(1 - (u @ u) / ((y - y.mean()) ** 2).sum()) and got["n"][0] == n

@@ -12,11 +12,37 @@ def test_query_matches_sql(spark, tables, name):
     assert_same(QUERIES[name](spark, folder), con.sql(ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"q63_grid_search", "q64_repeated_splits"}))
+#: Run by test_all_models, which looks at their values.
+COMPARED = {"q60_all_models", "q61_all_significance", "q63_grid_search", "q64_repeated_splits"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - COMPARED))
 def test_other_queries_run(spark, tables, name):
     assert QUERIES[name](spark, tables[0]).count() > 0
 
 
+def test_all_models(spark, tables):
+    """All six models beside the repeated splits; those that SQL can fit have its metrics; tests and grid agree with them."""
+    folder, con = tables
+    every = {r.model: r for r in QUERIES["q60_all_models"](spark, folder).collect()}
+    sql = con.sql(ORACLES["q60_model_comparison"])
+    names = sql.columns
+    fitted = [dict(zip(names, r)) for r in sql.fetchall()]
+    assert len(every) == 6 and len(fitted) == 4
+    for r in fitted:
+        got = every[r["model"]]
+        assert (got.params, got.n_cells, got.n_ballots) == (r["params"], r["n_cells"], r["n_ballots"])
+        assert [got[c] for c in ("rmse", "precision", "ndcg", "ndcg2")] == pytest.approx([r[c] for c in ("rmse", "precision", "ndcg", "ndcg2")], abs=2e-6)
+    assert all(r.rmse_mean_over_seeds > 0 and r.rmse_std_over_seeds > 0 and 0 < r.ndcg_mean_over_seeds < 1 for r in every.values())
+    tests = QUERIES["q61_all_significance"](spark, folder).collect()
+    assert len(tests) == 8 and all(0 <= r.p_value <= 1 and r.n == every[r.model].n_ballots for r in tests)
+    for r in tests:
+        if r.metric == "ndcg":
+            assert r.model_mean == pytest.approx(every[r.model].ndcg, abs=2e-6) and r.reference_mean == pytest.approx(every[r.reference].ndcg, abs=2e-6)
+    grid = QUERIES["q63_grid_search"](spark, folder).collect()
+    assert len(grid) == len({r.run for r in grid}) == 47 and [r.rmse for r in grid] == sorted(r.rmse for r in grid)
+
+
 def test_entry(spark, tables):
     import __spark_entry__
 
