@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinia.llm.common import Memo, wide_rows
+from affinia.llm.common import Memo, free, mark, wide_rows, written
 
 _SYMBOLS = bytes(b"#*$%&|<>")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -65,28 +65,37 @@ def word_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     return word_chars, n_symbols, dup_lines, int(hit.sum())
 
 
-def trusted_sample(docs: DataFrame, trusted: DataFrame, limit: int) -> list[int]:
-    """At most ``limit`` distinct trusted ids, those of the smallest hashes."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    return [r[0] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
+#: Trusted ids are ranked within so many ranges of their hashes, a power of two.
+_RANGES = 1 << 12
+#: More trusted ids than these meet the documents by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
-def _chosen(docs: DataFrame, kind: Column) -> DataFrame:
-    return wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), kind.alias("kind"))
+def halves(trusted: DataFrame) -> tuple[DataFrame, int]:
+    """(t_id, half) of every distinct trusted id, and their number. In the order of their hashes, halves 1 and 2
+    take turns. Ranks are made within ranges of hashes, a row for each of which gives the ranks before it."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("t_id")).filter("t_id IS NOT NULL").distinct()
+    ids = ids.withColumn("h", F.xxhash64("t_id")).withColumn("part", F.shiftright("h", 65 - _RANGES.bit_length()))
+    sizes = sorted(tuple(r) for r in ids.groupBy("part").count().collect())
+    before = np.cumsum([0] + [n for _, n in sizes]).tolist()
+    bases = trusted.sparkSession.createDataFrame([(part, base) for (part, _), base in zip(sizes, before, strict=False)], "b_part long, base long")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("h", "t_id")) - 1
+    ids = ids.withColumn("rank", rank).join(F.broadcast(bases), F.col("part") == F.col("b_part"))
+    return ids.select("t_id", (1 + (F.col("base") + F.col("rank")) % 2).cast("int").alias("half")), before[-1]
 
 
-def fit(docs: DataFrame, trusted: DataFrame, buckets: int, sample: int, keep_share: float) -> tuple[np.ndarray, float]:
-    """Log ratios by bucket, and the threshold.
+def _chosen(docs: DataFrame) -> DataFrame:
+    return wide_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    Raw counts come from every document. Half of the trusted sample gives the trusted counts, the other
-    half the threshold.
-    """
-    ids = trusted_sample(docs, trusted, sample)
-    if not ids:
-        return np.zeros(buckets), -np.inf
-    spark = docs.sparkSession
-    flags = spark.createDataFrame([(x, 1 + k % 2) for k, x in enumerate(ids)], "t_id long, half int")
-    rows = _chosen(docs, F.lit(0)).join(F.broadcast(flags), F.col("doc_id") == F.col("t_id"), "left")
+
+def _met(flags: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(flags) if n <= BROADCAST_IDS else flags
+
+
+def fit(docs: DataFrame, flags: DataFrame, n: int, buckets: int) -> np.ndarray:
+    """Log ratios by bucket: raw counts come from every document, trusted ones from every document of half 1 of
+    the ``n`` trusted ids."""
+    rows = docs.join(_met(flags, n), F.col("doc_id") == F.col("t_id"), "left")
     rows = rows.select("text", F.coalesce("half", F.lit(0)).alias("half"))
 
     def count(it) -> Iterator:
@@ -109,11 +118,32 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int, sample: int, keep_sha
     for bucket, a, b in sums.collect():
         raw[bucket] += a
         target[bucket] += b
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    held = score(rows.filter("half = 2").select(F.xxhash64("text").alias("doc_id"), "text"), ratio, -np.inf, 0, 1 << 62)
-    held = held.filter("score IS NOT NULL").select("doc_id", "score").orderBy("doc_id", "score").limit(sample)  # ids may repeat
-    scores = sorted(r[1] for r in held.collect())
-    return ratio, scores[int(len(scores) * (1 - keep_share))] if scores else -np.inf
+    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+
+
+def threshold_of(docs: DataFrame, flags: DataFrame, n: int, ratio: np.ndarray, keep_share: float) -> float:
+    """The score that all but 1 - keep_share of the documents of half 2 reach; those without words count not.
+
+    It is a row of the sorted scores: the partition it is in follows from their numbers of rows. Ids too many
+    for a broadcast meet the scores of all documents, so that no text is shuffled for it.
+    """
+    kept, same, begin = _met(flags.filter("half = 2"), n), F.col("doc_id") == F.col("t_id"), mark()
+    if n <= BROADCAST_IDS:
+        docs = docs.join(kept, same, "left_semi")
+    held = score(docs, ratio, -np.inf, 0, 1 << 62).filter("score IS NOT NULL").select("doc_id", "score")
+    if n > BROADCAST_IDS:
+        held = held.join(kept, same, "left_semi")
+    held = written(held.select("score"), "held-scores")  # a sort by range reads its rows twice
+    ranked = written(held.orderBy("score").select("score", F.monotonically_increasing_id().alias("place")), "ranked-scores")
+    sizes = sorted(tuple(r) for r in ranked.groupBy(F.shiftright("place", 33).alias("part")).count().collect())
+    rank, least = int(sum(c for _, c in sizes) * (1 - keep_share)), -np.inf
+    for part, c in sizes:
+        if rank < c:
+            least = ranked.filter(F.col("place") == (part << 33) + rank).first()[0]
+            break
+        rank -= c
+    free(docs.sparkSession, begin)
+    return least
 
 
 def score(docs: DataFrame, ratio: np.ndarray, threshold: float, min_words: int, max_repeat: int) -> DataFrame:
@@ -145,7 +175,6 @@ def quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
     buckets: int = 1 << 14,
-    sample: int = 20_000,
     keep_share: float = 0.998,
     min_words: int = 50,
     max_repeat: int = 50,
@@ -158,12 +187,15 @@ def quality_rules(
     three-word windows that occur twice or more), base_failed, kept, score (mean log ratio a hashed
     n-gram). ``kept`` is false for base_failed documents, else score >= threshold.
 
-    At most ``sample`` trusted documents (those of the smallest id hashes) fit the trusted multinomial and
-    the threshold; rows that repeat a trusted id all count in the multinomial, and at most ``sample`` of them, by
-    the hash of their text, in the threshold. The raw multinomial is that of all documents. Without trusted documents every score is 0
+    All trusted documents take part: by the order of their id hashes, every other one fits the trusted multinomial
+    and the rest the threshold, which is an order statistic of all their scores; rows that repeat a trusted id all
+    count where it does. The raw multinomial is that of all documents. Without trusted documents every score is 0
     and passes. Null and empty texts have no words, fail the base rules and have a null score. Rows that
-    repeat are rated each; a repeated trusted id counts once in the sample. An empty table gives no rows.
+    repeat are rated each; an id that trusted repeats counts once. An empty table gives no rows.
     Other columns are ignored.
     """
-    ratio, threshold = fit(docs, trusted, buckets, sample, keep_share)
-    return score(_chosen(docs, F.lit(0)), ratio, threshold, min_words, max_repeat)
+    docs = _chosen(docs)
+    flags, n = halves(trusted)
+    ratio = fit(docs, flags, n, buckets) if n else np.zeros(buckets)
+    threshold = threshold_of(docs, flags, n, ratio, keep_share) if n else -np.inf
+    return score(docs, ratio, threshold, min_words, max_repeat)

@@ -133,6 +133,32 @@ def test_quality_verdict(spark):
     assert sorted(r[8] for r in got if r[8] is not None) == pytest.approx(sorted(r[8] for r in want if r[8] is not None))
 
 
+@pytest.mark.parametrize("by_shuffle", [False, True])
+def test_all_trusted_documents_take_part(spark, monkeypatch, by_shuffle):
+    """More trusted documents than 20,000, the bound of before: all of them count, and the threshold is the order
+    statistic of every score of the other half, repeated ids included."""
+    if by_shuffle:
+        monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    n, words = 30_000, "good clean fine text bad junk of some kind".split()
+    docs = [(k % (n + 2000), " ".join(words[(k * 7 + j * j) % len(words)] + str(k % 50 * j % 11) for j in range(6))) for k in range(n + 4000)]
+    docs, trusted = frame(spark, docs), frame(spark, [(k,) for k in range(n)] + [(3,), (None,)], "doc_id long")
+    got = quality.quality_rules(docs, trusted, buckets=1 << 8, keep_share=0.9, min_words=1, max_repeat=100).collect()
+    order = {r.doc_id: k for k, r in enumerate(trusted.filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect())}
+    flags, count = quality.halves(trusted)
+    assert count == n and {r.t_id: r.half for r in flags.collect()} == {k: 1 + at % 2 for k, at in order.items()}
+    memo, raw, target = common.Memo(quality.word_hash), np.ones(1 << 8), np.ones(1 << 8)
+    for r in docs.collect():
+        own = np.bincount(quality.buckets_of(r.text.encode().split(), memo, 1 << 8), minlength=1 << 8)
+        raw += own
+        target += own * (order.get(r.doc_id, 1) % 2 == 0)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    want = sorted((r.doc_id, ratio[quality.buckets_of(r.text.encode().split(), memo, 1 << 8)].mean()) for r in docs.collect())
+    assert np.allclose([x for _, x in want], [x for _, x in sorted((r.doc_id, r.score) for r in got)])
+    held = sorted(r.score for r in got if order.get(r.doc_id, 0) % 2)
+    least = held[int(len(held) * (1 - 0.9))]
+    assert all(r.kept == (r.score >= least) for r in got) and len(got) == n + 4000
+
+
 # ---- 3 chat
 
 
