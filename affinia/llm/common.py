@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from affinia.sources.shared import free, mark, scratch, written
 
-__all__ = ["ARROW_ROWS", "Memo", "documents", "free", "mark", "scratch", "table", "tokenizer_path", "wide_rows", "written"]
+__all__ = ["ARROW_ROWS", "Memo", "documents", "free", "mark", "release", "releases", "scratch", "table", "tokenizer_path", "wide_rows", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,22 @@ def wide_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What drops the memory that a worker process holds beyond its tasks.
+_RELEASES: list[Callable] = []
+
+
+def releases(drop: Callable) -> None:
+    """Name a function for ``release``."""
+    _RELEASES.append(drop)
+
+
+def release() -> None:
+    """Drop what earlier tasks left in this process for tasks of their kind. Workers serve all stages of a session,
+    so a stage that has no use for it calls this first; results don't change."""
+    for drop in _RELEASES:
+        drop()
+
+
 class Memo(dict):
     """A dict that computes what it lacks and starts anew beyond a number of entries.
 

@@ -10,10 +10,12 @@ left to the library as a whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import struct
 import sys
+import weakref
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from affinia.llm.common import releases
+
 _ODD_SPACE = re.compile(r"\s\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Marks that are neither letter, number nor white space, and begin no contraction.
@@ -76,6 +80,12 @@ class Encoder:
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.space = self.letters[32]
 
+    def forget(self) -> None:
+        """Empty the memory."""
+        for memory in (self.first, self.spaced):
+            memory.clear()
+            memory.old = {}
+
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -177,7 +187,26 @@ class Encoder:
         return out
 
 
+#: The encoders of this process.
+_CODERS: weakref.WeakSet = weakref.WeakSet()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder a process and file: a worker's memory outlives its tasks."""
-    return Encoder(path)
+    """One encoder a process and file: a worker's memory outlives its tasks, until ``release``."""
+    coder = Encoder(path)
+    _CODERS.add(coder)
+    return coder
+
+
+def _forget() -> None:
+    held = [coder for coder in _CODERS if coder.first or coder.spaced]
+    for coder in held:
+        coder.forget()
+    if held:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed
+            trim(0)
+
+
+releases(_forget)

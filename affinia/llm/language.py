@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinia.llm.common import wide_rows
+from affinia.llm.common import release, wide_rows
 
 UNKNOWN = "und"
 #: Languages a model may have; their counts go to the driver.
@@ -172,6 +172,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     def rows(it) -> Iterator:
         import pyarrow as pa
 
+        release()
         for batch in it:
             found = [model.predict(text.as_py()) for text in batch.column(1)]
             cols = [pa.array([r[j] for r in found], kind) for j, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
@@ -201,6 +202,7 @@ def keep_identified(docs: DataFrame, model: Centroids) -> DataFrame:
     def rows(it) -> Iterator:
         import pyarrow as pa
 
+        release()
         for batch in it:
             keep = [not model.predict(text.as_py())[2] for text in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.common import Memo, free, mark, wide_rows, written
+from affinia.llm.common import Memo, free, mark, release, wide_rows, written
 from affinia.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +85,7 @@ def sketches(docs: DataFrame, shingle: int, coordinates: int, width: int) -> Dat
         import pyarrow as pa
         import xxhash
 
+        release()
         memo = _word_memo()
         for batch in it:
             n, digests, sigs = [], [], []

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.common import wide_rows
+from affinia.llm.common import release, wide_rows
 from affinia.llm.encode import Encoder, encoder
 from affinia.llm.token_store import pack, unpack, width_for
 
@@ -140,6 +140,7 @@ def pack_documents(
     def one_group(table):
         import pyarrow as pa
 
+        release()  # all is encoded by now
         cols = {c: table[c].to_pylist() for c in columns if c != "ids"}
         packed, group = table["ids"], table["group"][0].as_py()
         unpacked = lambda k: unpack(packed[k].as_buffer(), width, 0, cols["length"][k])

@@ -429,6 +429,17 @@ def test_encoder_forgets():
     assert len(small.spaced) <= 5
 
 
+def test_encoders_are_released():
+    """Stages that do not encode empty what a worker's encoders remember; ids stay the same."""
+    coder = encode.encoder(TOKENIZER)
+    texts = ["some words here\nand ünïcödé ones, twice", None, "  odd  space "]
+    before = [x.tolist() for x in coder.encode_many(texts)]
+    assert coder.first and coder.spaced
+    common.release()
+    assert not (coder.first or coder.spaced or coder.first.old or coder.spaced.old)
+    assert encode.encoder(TOKENIZER) is coder and [x.tolist() for x in coder.encode_many(texts)] == before
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), max_size=70), st.data())
 def test_bit_packing(width, ids, data):
