@@ -89,3 +89,18 @@ def test_entries_hold_all_documents(spark, small_tables):
     n = {1995 + y: [i % vectors % 2 for i in ids if i // 25 == y] for y in {i // 25 for i in ids}}
     got = {r.year: (r.n_entries, r.n_unique_vectors) for r in QUERIES["q47_vector_duplication"](spark, folder).collect()}
     assert got == {y: (len(v), len(set(v))) for y, v in n.items()}
+
+
+def test_causal_panel_compares_entries_of_years_with_votes(spark, tables, monkeypatch):
+    """Similarities of the panel are made for the years of its dyads, once, however many years of entries there are."""
+    from affinia.operators import regression
+    from affinia.sources.tables import entries
+
+    seen, own = [], regression.theme_similarity
+    monkeypatch.setattr(regression, "theme_similarity", lambda e: seen.append({r.year for r in e.select("year").distinct().collect()}) or own(e))
+    panel = QUERIES["q48_causal_panel"](spark, tables[0])
+    years = {r.year for r in panel.select("year").distinct().collect()}
+    assert seen == [years] and years < {r.year for r in entries(spark, tables[0]).select("year").distinct().collect()}
+    assert entries(spark, tables[0], panel).count() == 25 * len(years)
+    plan = panel._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "regexp_extract_all" not in plan, "z-scores make the similarities anew"
