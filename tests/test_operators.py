@@ -382,3 +382,44 @@ def test_absorbed_effects_are_those_of_dummies(song):
         assert got["coefficient"][k] == pytest.approx(beta[k])
         assert (pd.isna(got["std_error"][k]) and v[k] <= 0) or got["std_error"][k] == pytest.approx(math.sqrt(v[k]))
     assert got["r2"][0] == pytest.approx(1 - (u @ u) / ((y - y.mean()) ** 2).sum()) and got["n"][0] == n
+
+
+def test_similarities_of_a_year_from_one_shuffle(spark):
+    """Themes and words of years with repeated, missing and empty entries by brute force; only entries are shuffled."""
+    rows_ = [
+        (1, "B", "Élan vital élan", [1.0, 2.0]), (1, "A", "elan time", [2.0, 2.0]), (1, "C", "time a b", [4.0, 2.0]), (1, "D", None, None), (1, "E", "", []),
+        (2, "A", "one word", [1.0, 1.0]), (2, "B", "word one", [2.0, 0.0]), (2, "B", "two words", [3.0, 2.0]), (2, None, "word", [5.0, 1.0]),
+        (3, "A", "alone", [1.0, 1.0]), (4, "A", "equal", [0.1, 0.3]), (4, "B", "equal", [0.1, 0.3]), (4, "C", "equal", [0.1, 0.3]), (None, "A", "x", [1.0, 2.0]), (None, "B", "x", [1.0, 3.0]),
+    ]
+    own = spark.createDataFrame(rows_, "year int, country string, lyrics string, themes array<double>")
+    theme, words = similarity.theme_similarity(own), similarity.tfidf_similarity(own)
+
+    def cosine(x, y):
+        size = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+        return sum(v * y.get(k, 0) for k, v in x.items()) / size if size else 0.0
+
+    want_theme, want_words = [], []
+    for year in (1, 2, 3, 4):
+        mine = [r for r in rows_ if r[0] == year]
+        z, tf = {}, {}
+        x = np.array([r[3] for r in mine if r[3]])
+        spread = x.std(axis=0)
+        spread[np.ptp(x, axis=0) == 0] = 1.0
+        for r, v in zip([r for r in mine if r[3]], (x - x.mean(axis=0).round(12)) / spread, strict=True):
+            z.setdefault(r[1], []).append(v)
+        z = {c: dict(enumerate(np.mean(v, axis=0).round(12))) for c, v in z.items()}
+        for r in mine:
+            for t in (r[2] or "").lower().replace("é", "e").split():
+                if len(t) > 1:
+                    tf.setdefault(r[1], {}).setdefault(t, []).append(1)
+        df = {t: sum(t in x for x in tf.values()) for x in tf.values() for t in x}
+        w = {c: {t: (1 + math.log(len(k))) * (math.log((1 + len(mine)) / (1 + df[t])) + 1) for t, k in x.items() if df[t] > 1} for c, x in tf.items()}
+        named = [r[1] for r in mine if r[1]]
+        want_theme += [(year, a, b, cosine(z[a], z[b])) for a in z for b in z if a and b and a < b]
+        want_words += [(year, a, b, cosine(w.get(a, {}), w.get(b, {}))) for a in named for b in named if a < b]
+    for got, want in ((theme, want_theme), (words, want_words)):
+        found = rows(got, "year", "a", "b")
+        assert [r[:3] for r in found] == [r[:3] for r in sorted(want)]
+        assert [r[3] for r in found] == pytest.approx([r[3] for r in sorted(want)], abs=1e-9)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Generate" not in plan, "elements or pairs are shuffled"
